@@ -1,5 +1,5 @@
 """Queries registered with the driver, by area."""
 
-from queryset import profiling
+from queryset import profiling, relations
 
-MODULES = [profiling]
+MODULES = [profiling, relations]

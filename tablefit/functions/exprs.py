@@ -18,8 +18,10 @@ def c(name: str) -> Column:
 
 
 def rounded(x: Column, digits: int = 4) -> Column:
-    """Report rounding; adding zero turns -0.0 into 0.0 so that hashes agree."""
-    return F.round(x.cast("double"), digits) + F.lit(0.0)
+    """Report rounding of the binary value (half away from zero after scaling, so 0.00015, which
+    is stored slightly smaller, gives 0.0001); adding zero turns -0.0 into 0.0."""
+    scale = float(10 ** digits)
+    return F.round(x.cast("double") * scale, 0) / F.lit(scale) + F.lit(0.0)
 
 
 def tidy(x: Column, digits: int = 4) -> Column:
@@ -72,14 +74,26 @@ def band(value: Column, steps: list[tuple[float, str]], otherwise: str, strict:
     return out.otherwise(F.lit(otherwise))
 
 
-def row_digest(df, cols: list[str] | None = None) -> Column:
-    """128-bit fingerprint of a whole row. Lengths and null marks keep it unambiguous, so
-    duplicate search shuffles 16 bytes per row instead of the row."""
-    parts = []
-    for name in cols or df.columns:
-        text = c(name).cast("string")
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~")))
-    return F.unhex(F.md5(F.concat_ws("|", *parts)))
+def row_digest(df, cols: list[str] | None = None) -> list[Column]:
+    """128-bit fingerprint of a whole row as two differently seeded 64-bit hashes, so duplicate
+    search shuffles 16 bytes per row instead of the row. A null mask goes in first because the
+    hash function skips nulls."""
+    cols = cols or df.columns
+    masks = []
+    for start in range(0, len(cols), 60):
+        mask = F.lit(0).cast("bigint")
+        for i, name in enumerate(cols[start:start + 60]):
+            mask = mask.bitwiseOR(F.when(c(name).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
+        masks.append(mask)
+    values = [c(n) for n in cols]
+    return [F.xxhash64(*masks, *values).alias("d1"), F.xxhash64(F.lit(7), *masks, *values).alias("d2")]
+
+
+def long_numbers(df, cols: list[str]):
+    """Numeric columns as rows (i, v): one group per column keeps the generated code the same
+    size for 5 or 500 columns, where one wide aggregate falls off the JIT limit."""
+    pairs = [x for i, n in enumerate(cols) for x in (F.lit(i), c(n).cast("double"))]
+    return df.select(F.stack(F.lit(len(cols)), *pairs).alias("i", "v")).where("v is not null")
 
 
 def hash_key(key: list[str], salt: str = "") -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablefit.functions.exprs import c, hash_key
+from tablefit.functions.exprs import c, hash_key, long_numbers
 
 SKETCH_ACCURACY = 5000   # rank error of the bracket sketch is n / accuracy
 BRACKET_LIMIT = 100_000  # values of one bracket that one task may sort
@@ -45,50 +45,41 @@ def exact_quantiles(
 def _quantiles_of(df, cols, probs, accuracy, limit):
     if not cols:
         return {}
-    data = df.select(*[c(n).cast("double").alias(f"x{i}") for i, n in enumerate(cols)])
+    rows = long_numbers(df, cols)
     points = sorted({min(1.0, max(0.0, p + s / accuracy)) for p in probs for s in (-2, 2)})
-    aggs = []
-    for i in range(len(cols)):
-        x = F.col(f"x{i}")
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-            F.percentile_approx(x, points, accuracy).alias(f"s{i}"),
-        ]
-    seen = data.agg(*aggs).first()
-
-    picks: dict[str, dict[float, float | None]] = {n: {} for n in cols}
+    seen = {
+        r["i"]: r
+        for r in rows.groupBy("i").agg(
+            F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+            F.percentile_approx("v", points, accuracy).alias("s"),
+        ).collect()
+    }
+    picks: dict[str, dict[float, float | None]] = {n: {p: None for p in probs} for n in cols}
     brackets: dict[tuple[int, float], list[float]] = {}
     ranks: dict[tuple[int, float], tuple[int, int, float]] = {}
-    for i, name in enumerate(cols):
-        n = seen[f"n{i}"]
+    for i, got in seen.items():
+        sketch, n = dict(zip(points, got["s"])), got["n"]
         for p in probs:
-            if n == 0:
-                picks[name][p] = None
-                continue
             at = p * (n - 1)
             lo = math.floor(at)
-            hi = min(n - 1, lo + 1)
-            ranks[i, p] = (lo, hi, at - lo)
-            sketch = dict(zip(points, seen[f"s{i}"]))
+            ranks[i, p] = (lo, min(n - 1, lo + 1), at - lo)
             low, high = max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy)
-            a = seen[f"lo{i}"] if low == 0.0 else sketch[low]
-            b = seen[f"hi{i}"] if high == 1.0 else sketch[high]
-            brackets[i, p] = [a, b]
+            brackets[i, p] = [got["lo"] if low == 0.0 else sketch[low], got["hi"] if high == 1.0 else sketch[high]]
 
     pending = list(brackets)
     while pending:
         small, retry = [], []
-        counts = _bracket_counts(data, pending, brackets)
+        counts = _bracket_counts(rows, pending, brackets)
         for key in pending:
             i, p = key
             below, upto = counts[key]
             lo, hi, w = ranks[key]
             a, b = brackets[key]
             if below > lo:
-                brackets[key] = [seen[f"lo{i}"], b]
+                brackets[key] = [seen[i]["lo"], b]
                 retry.append(key)
             elif upto <= hi:
-                brackets[key] = [a, seen[f"hi{i}"]]
+                brackets[key] = [a, seen[i]["hi"]]
                 retry.append(key)
             elif a == b:
                 picks[cols[i]][p] = a
@@ -96,26 +87,31 @@ def _quantiles_of(df, cols, probs, accuracy, limit):
                 small.append(key)
         large = [k for k in small if counts[k][1] - counts[k][0] > limit]
         if large:
-            small, narrowed = _narrow(data, small, large, brackets, ranks, counts, accuracy, limit)
+            small, narrowed = _narrow(df, cols, small, large, brackets, ranks, counts, accuracy, limit)
             retry += narrowed
-        for (i, p), (x_lo, x_hi) in _bracket_values(data, small, brackets, ranks, counts).items():
+        for (i, p), (x_lo, x_hi) in _bracket_values(df, cols, small, brackets, ranks, counts).items():
             picks[cols[i]][p] = x_lo + (x_hi - x_lo) * ranks[i, p][2]
         pending = retry
     return picks
 
 
-def _bracket_counts(data, keys, brackets):
+def _bracket_counts(rows, keys, brackets):
+    """How many values lie below each bracket and up to its end, for all columns in one scan."""
+    slots: dict[int, list] = {}
+    for key in keys:
+        slots.setdefault(key[0], []).append(key)
+    width = max(len(v) for v in slots.values())
+    bound = lambda s, side: when_map(F.col("i"), {i: brackets[v[s]][side] for i, v in slots.items() if s < len(v)})
     aggs = []
-    for j, (i, p) in enumerate(keys):
-        a, b = brackets[i, p]
-        x = F.col(f"x{i}")
-        aggs += [F.count_if(x < F.lit(a)).alias(f"a{j}"), F.count_if(x <= F.lit(b)).alias(f"b{j}")]
-    row = data.agg(*aggs).first()
-    return {k: (row[f"a{j}"], row[f"b{j}"]) for j, k in enumerate(keys)}
+    for s in range(width):
+        aggs += [F.count_if(F.col("v") < bound(s, 0)).alias(f"a{s}"), F.count_if(F.col("v") <= bound(s, 1)).alias(f"b{s}")]
+    got = rows.where(F.col("i").isin(list(slots))).groupBy("i").agg(*aggs).collect()
+    return {key: (r[f"a{s}"], r[f"b{s}"]) for r in got for s, key in enumerate(slots[r["i"]])}
 
 
-def _narrow(data, small, large, brackets, ranks, counts, accuracy, limit):
+def _narrow(df, cols, small, large, brackets, ranks, counts, accuracy, limit):
     """Tighten brackets that hold too many values; few distinct values need no tightening."""
+    data = df.select(*[c(n).cast("double").alias(f"x{i}") for i, n in enumerate(cols)])
     aggs = []
     for j, (i, p) in enumerate(large):
         a, b = brackets[i, p]
@@ -137,10 +133,11 @@ def _narrow(data, small, large, brackets, ranks, counts, accuracy, limit):
     return keep, again
 
 
-def _bracket_values(data, keys, brackets, ranks, counts):
+def _bracket_values(df, cols, keys, brackets, ranks, counts):
     """The two order statistics of every bracket, from the counted values inside it."""
     if not keys:
         return {}
+    data = df.select(*[c(n).cast("double").alias(f"x{i}") for i, n in enumerate(cols)])
     tests, entries = None, []
     for j, (i, p) in enumerate(keys):
         a, b = brackets[i, p]

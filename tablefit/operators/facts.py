@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablefit.functions.exprs import c, dots_and_minus_number, pair_corr, row_digest
-from tablefit.functions.ranks import COLUMNS_PER_SCAN, _chunks, count_values, exact_quantiles
+from tablefit.functions.exprs import c, dots_and_minus_number, long_numbers, row_digest
+from tablefit.functions.ranks import count_values, exact_quantiles, when_map
 from tablefit.sources.tables import column_kinds, integral_cols, normalise
 
-PAIRS_PER_SCAN = 150
+PAIRS_IN_JVM = 12  # beyond that the generated aggregate code outgrows the JIT limit
 LONG_TEXT = 64  # longer strings are counted by their md5 digest
 
 
@@ -64,60 +64,75 @@ class Facts:
         return self._rows
 
     def scan(self) -> dict[str, dict]:
-        """Counts, moments, ranges and text shares of all columns, one aggregate per 25 columns."""
+        """Counts, moments, ranges and text shares of all columns. Numbers and texts are measured
+        in long form by separate scans; each reads only its own columns."""
         if self._scan is not None:
             return self._scan
-        out: dict[str, dict] = {}
-        for part in _chunks(self.columns, COLUMNS_PER_SCAN):
-            aggs = [F.count(F.lit(1)).alias("rows")]
-            names: list[tuple[str, str]] = []
-            for i, name in enumerate(part):
-                for metric, agg in self._metrics(name).items():
-                    aggs.append(agg.alias(f"{metric}_{i}"))
-                    names.append((name, f"{metric}_{i}"))
-            row = self.df.agg(*aggs).first()
-            self._rows = row["rows"]
-            for name, label in names:
-                out.setdefault(name, {})[label.rsplit("_", 1)[0]] = row[label]
+        out: dict[str, dict] = {n: {} for n in self.columns}
+        rest = [n for n in self.columns if self.kinds[n] != "numeric"]
+        counts = [F.count(c(n)).alias(f"n{i}") for i, n in enumerate(rest)]
+        row = self.df.agg(F.count(F.lit(1)).alias("rows"), *counts).first()
+        self._rows = row["rows"]
+        for i, name in enumerate(rest):
+            out[name]["present"] = row[f"n{i}"]
+        for r in self._number_scan():
+            out[self.numeric[r["i"]]] = r.asDict()
+        for r in self._text_scan():
+            out[self.strings[r["i"]]] |= r.asDict()
+        if self.approx:
+            got = self.df.agg(*[F.approx_count_distinct(c(n), 0.01).alias(f"k{i}") for i, n in enumerate(self.columns)]).first()
+            for i, name in enumerate(self.columns):
+                out[name]["approx"] = got[f"k{i}"]
         for name, m in out.items():
             self._finish(name, m)
         self._scan = out
         return out
 
-    def _metrics(self, name: str) -> dict:
-        x, kind = c(name), self.kinds[name]
-        out = {"present": F.count(x)}
-        if self.approx:
-            out["approx"] = F.approx_count_distinct(x, 0.01)
-        if kind == "numeric":
-            v = x.cast("double")
-            out |= {
-                "mean": F.avg(v), "std": F.stddev_samp(v), "var": F.var_samp(v), "std_pop": F.stddev_pop(v),
-                "g1": F.skewness(v), "g2": F.kurtosis(v), "min": F.min(v), "max": F.max(v),
-                "zeros": F.count_if(v == 0), "negatives": F.count_if(v < 0),
-                "unit": F.count_if((v == 0) | (v == 1)), "integers": F.count_if(v == F.floor(v)),
-            }
-        if kind == "string":
-            out |= {
-                "avg_length": F.avg(F.length(x).cast("double")),
-                "spaced": F.count_if(F.contains(x, F.lit(" "))),
-                "numberlike": F.count_if(dots_and_minus_number(x, True)),
-                "numberlike_any": F.count_if(dots_and_minus_number(x, False)),
-                "castable": F.count(x.try_cast("double")),
-            }
-        return out
+    def _number_scan(self):
+        if not self.numeric:
+            return []
+        v = F.col("v")
+        return long_numbers(self.df, self.numeric).groupBy("i").agg(
+            F.count(v).alias("present"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"), F.skewness(v).alias("g1"),
+            F.kurtosis(v).alias("g2"), F.min(v).alias("min"), F.max(v).alias("max"), F.count_if(v == 0).alias("zeros"),
+            F.count_if(v < 0).alias("negatives"), F.count_if((v == 0) | (v == 1)).alias("unit"),
+            F.count_if(v == F.floor(v)).alias("integers"),
+        ).collect()
+
+    def _text_scan(self):
+        if not self.strings:
+            return []
+        pairs = [x for i, n in enumerate(self.strings) for x in (F.lit(i), c(n))]
+        v = F.col("v")
+        rows = self.df.select(F.stack(F.lit(len(self.strings)), *pairs).alias("i", "v")).where("v is not null")
+        return rows.groupBy("i").agg(
+            F.avg(F.length(v).cast("double")).alias("avg_length"), F.count_if(F.contains(v, F.lit(" "))).alias("spaced"),
+            F.count_if(dots_and_minus_number(v, True)).alias("numberlike"),
+            F.count_if(dots_and_minus_number(v, False)).alias("numberlike_any"),
+            F.count(v.try_cast("double")).alias("castable"),
+        ).collect()
 
     def _finish(self, name: str, m: dict) -> None:
-        n = m["present"]
+        n = m.setdefault("present", 0)
         m["missing"] = self._rows - n
         m["missing_share"] = m["missing"] / self._rows if self._rows else 0.0
         if self.kinds[name] == "numeric":
-            g1, g2 = m.pop("g1"), m.pop("g2")
+            for empty in ("mean", "var", "g1", "g2", "min", "max"):
+                m.setdefault(empty, None)
+            for empty in ("zeros", "negatives", "unit", "integers"):
+                m.setdefault(empty, 0)
+            g1, g2, var = m.pop("g1"), m.pop("g2"), m["var"]
+            m["std"] = math.sqrt(var) if var is not None else None
+            m["std_pop"] = math.sqrt(var * (n - 1) / n) if var is not None else 0.0 if n else None
             m["skew"] = (g1 or 0.0) * math.sqrt(n * (n - 1)) / (n - 2) if n > 2 else None
             m["kurt"] = (
                 (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if n > 3 and g2 is not None else 0.0 if n > 3 else None
             )
             m["is_unit"] = m["unit"] == n
+        if self.kinds[name] == "string":
+            for empty in ("spaced", "numberlike", "numberlike_any", "castable"):
+                m.setdefault(empty, 0)
+            m.setdefault("avg_length", None)
 
     # ---- facts that need their own pass ----------------------------------------------------
     def distinct(self, cols: list[str] | None = None) -> dict[str, int]:
@@ -158,28 +173,21 @@ class Facts:
         """(|z| > 3 count, outside-fence count) per numeric column, one pass for all."""
         cols = self.numeric if cols is None else cols
         todo = [n for n in cols if n not in self._outliers]
-        for part in _chunks(todo, COLUMNS_PER_SCAN):
-            facts, fences, aggs = self.scan(), self.fences(part), []
-            for i, name in enumerate(part):
-                v, m = c(name).cast("double"), facts[name]
-                if fences[name] is None:
-                    aggs += [F.lit(0).alias(f"z{i}"), F.lit(0).alias(f"o{i}")]
-                    continue
-                lo, hi = fences[name]
-                if m["std"] is None:
-                    z = F.lit(0)
-                else:
-                    z = F.count_if(F.abs((v - F.lit(m["mean"])) / F.lit(m["std"] + 1e-9)) > 3)
-                aggs += [z.alias(f"z{i}"), F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"o{i}")]
-            row = self.df.agg(F.count(F.lit(1)), *aggs).first()
-            for i, name in enumerate(part):
-                self._outliers[name] = (row[f"z{i}"], row[f"o{i}"])
+        if todo:
+            facts, fences = self.scan(), self.fences(todo)
+            live = {i: n for i, n in enumerate(todo) if fences[n] is not None}
+            lookup = lambda get: when_map(F.col("i"), {i: get(n) for i, n in live.items()})
+            z = (F.col("v") - lookup(lambda n: facts[n]["mean"])) / lookup(lambda n: (facts[n]["std"] or 0.0) + 1e-9)
+            beyond = (F.col("v") < lookup(lambda n: fences[n][0])) | (F.col("v") > lookup(lambda n: fences[n][1]))
+            self._outliers |= {n: (0, 0) for n in todo}
+            rows = long_numbers(self.df, todo).groupBy("i").agg(F.count_if(F.abs(z) > 3).alias("z"), F.count_if(beyond).alias("o"))
+            self._outliers |= {todo[r["i"]]: (r["z"], r["o"]) for r in rows.collect()}
         return {n: self._outliers[n] for n in cols}
 
     def duplicates(self) -> int:
         """Rows minus distinct rows; only 16-byte fingerprints are shuffled."""
         if self._duplicates is None:
-            prints = self.df.select(row_digest(self.df).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("k"))
+            prints = self.df.select(*row_digest(self.df)).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("k"))
             got = prints.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("extra")).first()
             self._duplicates = int(got["extra"])
         return self._duplicates
@@ -189,14 +197,8 @@ class Facts:
         cols = self.numeric if cols is None else cols
         pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
         todo = [p for p in pairs if p not in self._corr]
-        facts = self.scan()
-        for part in _chunks(todo, PAIRS_PER_SCAN):
-            aggs = []
-            for i, (a, b) in enumerate(part):
-                complete = facts[a]["missing"] == 0 and facts[b]["missing"] == 0
-                aggs.append(pair_corr(c(a), c(b), complete).alias(f"r{i}"))
-            row = self.df.agg(*aggs).first()
-            self._corr |= {p: row[f"r{i}"] for i, p in enumerate(part)}
+        if todo:
+            self._corr |= pair_correlations(self.df, todo, {n: self.scan()[n]["mean"] or 0.0 for n in cols})
         return {p: self._corr[p] for p in pairs}
 
     def corr_with(self, target: str, cols: list[str] | None = None) -> dict[str, float | None]:
@@ -205,14 +207,8 @@ class Facts:
         place = {n: i for i, n in enumerate(self.numeric)}
         key = {n: (n, target) if place.get(n, -1) < place.get(target, 10**9) else (target, n) for n in cols}
         todo = [n for n in cols if key[n] not in self._corr]
-        facts = self.scan()
-        for part in _chunks(todo, PAIRS_PER_SCAN):
-            aggs = [
-                pair_corr(c(n), c(target), facts[n]["missing"] == 0 and facts[target]["missing"] == 0).alias(f"r{i}")
-                for i, n in enumerate(part)
-            ]
-            row = self.df.agg(*aggs).first()
-            self._corr |= {key[n]: row[f"r{i}"] for i, n in enumerate(part)}
+        if todo:
+            self._corr |= pair_correlations(self.df, [key[n] for n in todo], {n: self.scan()[n]["mean"] or 0.0 for n in (*todo, target)})
         return {n: self._corr[key[n]] for n in cols}
 
     def top(self, cols: list[str], k: int = 10) -> dict[str, list[tuple[str, int]]]:
@@ -255,6 +251,63 @@ class Facts:
         return small_table(self.spark, rows, self.FIELDS)
 
 
+def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], means: dict[str, float]) -> dict[tuple[str, str], float | None]:
+    """Pearson r of column pairs over rows where both are present, in one pass.
+
+    Sums are taken of deviations from the known column means, which keeps them stable. Few pairs
+    are summed by JVM aggregates; for many, every task multiplies its Arrow batches into one
+    matrix of cross products and only those matrices are shuffled.
+    """
+    names = sorted({n for p in pairs for n in p})
+    dev = {n: c(n).cast("double") - F.lit(means[n]) for n in names}
+    if len(pairs) <= PAIRS_IN_JVM:
+        aggs = []
+        for j, (a, b) in enumerate(pairs):
+            x, y = F.when(dev[b].isNotNull(), dev[a]), F.when(dev[a].isNotNull(), dev[b])
+            aggs += [
+                F.count(x).alias(f"n{j}"), F.sum(x).alias(f"x{j}"), F.sum(y).alias(f"y{j}"),
+                F.sum(x * x).alias(f"xx{j}"), F.sum(y * y).alias(f"yy{j}"), F.sum(x * y).alias(f"xy{j}"),
+            ]
+        row = df.agg(*aggs).first()
+        sums = {p: [row[f"{m}{j}"] for m in ("n", "x", "y", "xx", "yy", "xy")] for j, p in enumerate(pairs)}
+    else:
+        slim = df.select(*[dev[n].alias(f"x{i}") for i, n in enumerate(names)])
+        fields = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+        parts = slim.mapInPandas(_cross_products, fields)
+        cols = ["n", "x", "y", "xx", "yy", "xy"]
+        got = parts.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in cols]).collect()
+        by_pair = {(names[r["i"]], names[r["j"]]): [r[m] for m in cols] for r in got}
+        swap = lambda s: [s[0], s[2], s[1], s[4], s[3], s[5]]
+        sums = {(a, b): by_pair[a, b] if (a, b) in by_pair else swap(by_pair[b, a]) if (b, a) in by_pair else [0] * 6 for a, b in pairs}
+    return {p: _r_from_sums(*s) for p, s in sums.items()}
+
+
+def _cross_products(batches):
+    import numpy as np
+    import pandas as pd
+
+    total = None
+    for batch in batches:
+        x = batch.to_numpy(dtype=float)
+        m = (~np.isnan(x)).astype(float)
+        x = np.where(m == 1, x, 0.0)
+        part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        total = part if total is None else total + part
+    if total is not None:
+        i, j = np.triu_indices(total.shape[1], 1)
+        yield pd.DataFrame({"i": i, "j": j, **{k: total[s][i, j] for s, k in enumerate(["n", "x", "y", "xx", "yy", "xy"])}})
+
+
+def _r_from_sums(n, x, y, xx, yy, xy):
+    if not n or n < 2:
+        return None
+    vx, vy = xx - x * x / n, yy - y * y / n
+    scale = math.sqrt(max(vx, 0.0)) * math.sqrt(max(vy, 0.0))
+    if vx <= 1e-12 * xx or vy <= 1e-12 * yy or scale == 0.0:
+        return None
+    return max(-1.0, min(1.0, (xy - x * y / n) / scale))
+
+
 def top_values(counted: DataFrame, k: int) -> DataFrame:
     """Top-k values per column. The rank filter is applied inside every task before the shuffle
     (window group limit), so a column of unique texts sends k rows per task, not all of them."""
