@@ -1,5 +1,5 @@
 """Queries registered with the driver, by area."""
 
-from queryset import drifting, preparing, profiling, relations
+from queryset import drifting, modelling, preparing, profiling, relations
 
-MODULES = [profiling, relations, preparing, drifting]
+MODULES = [profiling, relations, preparing, drifting, modelling]

@@ -133,8 +133,8 @@ REG.add(
 _qs = ", ".join(str(k / 1000) for k in range(1001))
 _grid_sql = lambda n: f"SELECT '{n}' AS \"column\", unnest(range(1001)) / 1000.0 AS p, unnest(quantile_cont(CAST({n} AS DOUBLE), [{_qs}])) AS v FROM {_b}"
 REG.add(
-    "baseline_grid_events", lambda spark, sf: D.Baseline.of(read(spark, sf, "events_before")).grid.select("column", rounded(F.col("p")).alias("p"), rounded(F.col("v")).alias("v")),
-    f"SELECT \"column\", {r4('p')} AS p, {r4('v')} AS v FROM ({_grid_sql('user_id')} UNION ALL {_grid_sql('value')})",
+    "baseline_grid_events", lambda spark, sf: D.Baseline.of(read(spark, sf, "events_before")).grid.select("column", rounded(F.col("p")).alias("p"), rounded(F.col("v"), 6).alias("v")),
+    f"SELECT \"column\", {r4('p')} AS p, {r4('v', 6)} AS v FROM ({_grid_sql('user_id')} UNION ALL {_grid_sql('value')})",
 )
 
 

@@ -59,26 +59,39 @@ class NumericDrift:
         gap = F.abs(F.col("n_a_upto") / total("t_a") - F.col("n_b_upto") / total("t_b"))
         return self.counts.where(F.col("i").isin(list(self.live))).groupBy("i").agg(F.max(gap).alias("ks"))
 
-    def quantiles(self, probs: list[float], side: str) -> dict[int, list[float]]:
-        """Exact quantiles of one side, read off the running totals."""
-        aggs = []
+    def grid(self, side: str, parts: int) -> DataFrame:
+        """Exact quantiles of one side at 0, 1/parts, ..., 1 as rows (i, k, v).
+
+        A counted value covers a run of ranks; the grid points that fall into the run follow by
+        integer arithmetic, so every row emits only the points it answers."""
         upto, n = F.col(f"n_{side}_upto"), F.col(f"n_{side}")
         total = F.create_map(*[F.lit(x) for i, r in self.live.items() for x in (i, int(r[f"t_{side}"]))])[F.col("i")]
-        for j, p in enumerate(probs):
-            at = F.lit(p) * (total - 1)
-            low = F.floor(at)
-            high = F.least(low + 1, total - 1)
-            aggs += [
-                F.min(F.when((n > 0) & (upto > low), F.col("v"))).alias(f"l{j}"), F.min(F.when((n > 0) & (upto > high), F.col("v"))).alias(f"h{j}"),
-                F.max(at - low).alias(f"w{j}"),
-            ]
-        rows = self.counts.where(F.col("i").isin(list(self.live))).groupBy("i").agg(*aggs).collect()
-        return {r["i"]: [r[f"l{j}"] + (r[f"h{j}"] - r[f"l{j}"]) * r[f"w{j}"] for j in range(len(probs))] for r in rows}
+        rows = self.counts.where(F.col("i").isin(list(self.live)) & (n > 0)).select("i", "v", upto.alias("u"), n.alias("n"), (total - 1).alias("m"))
+
+        def hits(shift: int, name: str) -> DataFrame:
+            # grid points k whose lower rank floor(k * m / parts), plus shift, lies in [u - n, u)
+            first = F.expr(f"(greatest(u - n - {shift}, 0) * {parts} + m - 1) div greatest(m, 1)")
+            last = F.expr(f"((u - {shift}) * {parts} - 1) div greatest(m, 1)")
+            k = F.when(F.col("m") == 0, F.sequence(F.lit(0), F.lit(parts).cast("bigint"))).when(
+                (F.col("u") > shift) & (first <= last) & (first <= parts), F.sequence(first, F.least(last, F.lit(parts)).cast("bigint"))
+            )
+            return rows.select("i", "m", F.explode(k).alias("k"), F.col("v").alias(name))
+
+        low, high = hits(0, "lo"), hits(1, "hi").drop("m")
+        both = low.join(high, ["i", "k"], "left")
+        w = F.expr(f"(k * m) % {parts}") / F.lit(float(parts))
+        return both.select("i", "k", (F.col("lo") + (F.coalesce("hi", "lo") - F.col("lo")) * w).alias("v"))
+
+    def quantiles(self, parts: int, side: str) -> dict[int, list[float]]:
+        out: dict[int, list[float]] = {}
+        for r in self.grid(side, parts).orderBy("i", "k").collect():
+            out.setdefault(r["i"], []).append(r["v"])
+        return out
 
     def psi(self, bins: int = PSI_BINS) -> DataFrame:
         """Population stability over quantile bins of side a. The last bin is closed on the right;
         values of side b outside the bins fall out, shares are taken of all values."""
-        edges = {i: sorted(set(q)) for i, q in self.quantiles([k / bins for k in range(bins + 1)], "a").items()}
+        edges = {i: sorted(set(q)) for i, q in self.quantiles(bins, "a").items()}
         usable = {i: e for i, e in edges.items() if len(e) > 1}
         if not usable:
             return small_table(self.spark, [(i, 0.0) for i in self.live], [("i", "int"), ("psi", "double")])
@@ -167,14 +180,14 @@ def drift_numeric(a, b, cols: list[str] | None = None) -> DataFrame:
     share and severity (PSI band, raised by a significant KS test)."""
     a, b = normalise(a), normalise(b)
     d = NumericDrift(a, b, cols or common_numeric(a, b))
-    med_a, med_b = d.quantiles([0.5], "a"), d.quantiles([0.5], "b")
+    med_a, med_b = d.quantiles(2, "a"), d.quantiles(2, "b")
     got = d.ks().join(d.psi(), "i").join(d.js(), "i").join(d.spread(), "i").collect()  # one row per column
     rows = []
     for r in got:
         i, f = r["i"], d.live[r["i"]]
         rows.append((
             d.cols[i], r["ks"], ks_2samp_sf(r["ks"], f["t_a"], f["t_b"]), r["psi"], r["js"], f["mean_a"], f["mean_b"], r["std_a"], r["std_b"],
-            med_a[i][0], med_b[i][0], int(r["out_of_range"]), int(f["t_b"]),
+            med_a[i][1], med_b[i][1], int(r["out_of_range"]), int(f["t_b"]),
         ))
     t = small_table(d.spark, rows, [("column", "string")] + [(n, "double") for n in ("ks", "p", "psi", "js", "mean_a", "mean_b", "std_a", "std_b", "med_a", "med_b")] + [("out", "bigint"), ("t_b", "bigint")])
     shift = lambda k: F.abs(F.col(f"{k}_b") - F.col(f"{k}_a")) / ((F.abs(F.col(f"{k}_a"))) + 1e-9) * 100
@@ -361,7 +374,7 @@ def drift_report(a, b) -> DataFrame:
 
 # ---- stored baseline ---------------------------------------------------------------------------
 
-GRID = [k / 1000 for k in range(1001)]
+GRID = 1000
 
 
 class Baseline:
@@ -386,12 +399,13 @@ class Baseline:
         else:
             total = counts.groupBy("column").agg(F.sum("n_a").alias("t"))
             categories = counts.join(F.broadcast(total), "column").select("column", "value", (F.col("n_a") / F.col("t")).alias("share"))
-        grid = []
-        if numeric:
-            d = NumericDrift(f.df, f.df.limit(1), [n for n in numeric if scan[n]["present"]])
-            for i, q in d.quantiles(GRID, "a").items():
-                grid += [(d.cols[i], p, v) for p, v in zip(GRID, q)]
-        return Baseline(columns, categories, small_table(f.spark, grid, [("column", "string"), ("p", "double"), ("v", "double")]))
+        filled = [n for n in numeric if scan[n]["present"]]
+        if filled:
+            d = NumericDrift(f.df, f.df, filled)
+            grid = d._join(d.grid("a", GRID)).select("column", (F.col("k") / F.lit(float(GRID))).alias("p"), "v")
+        else:
+            grid = small_table(f.spark, [], [("column", "string"), ("p", "double"), ("v", "double")])
+        return Baseline(columns, categories, grid)
 
     def save(self, path: str) -> None:
         for name in ("columns", "categories", "grid"):
