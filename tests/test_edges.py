@@ -76,7 +76,7 @@ def people(spark):
     rows = []
     for i in range(500):
         age = None if i % 10 == 0 else float(20 + i * 7 % 50)
-        rows.append((i, age, math.exp(7 + (i * 37 % 100) / 25), "MF"[i % 2], f"city{i % 8}", float(i * 13 % 100), "note" if i % 10 < 3 else None, 1, int(i * 13 % 100 > 60)))
+        rows.append((i, age, math.exp(7 + (i * 37 % 100) / 25), "MF"[i % 2], f"city{i % 8}", float(i * 13 % 100), f"note{i % 7}" if i % 10 < 3 else None, 1, int(i * 13 % 100 > 60)))
     return spark.createDataFrame(rows, "id long, age double, income double, gender string, city string, score double, notes string, constant_col long, target int")
 
 
