@@ -18,6 +18,7 @@ from tablefit.functions.ranks import count_values, exact_quantiles, when_map
 from tablefit.sources.tables import column_kinds, integral_cols, normalise
 
 PAIRS_IN_JVM = 12  # beyond that the generated aggregate code outgrows the JIT limit
+CASTABLE_TEXT = r"^\s*[+-]?([0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))\s*$"
 LONG_TEXT = 64  # longer strings are counted by their md5 digest
 
 
@@ -109,7 +110,8 @@ class Facts:
             F.avg(F.length(v).cast("double")).alias("avg_length"), F.count_if(F.contains(v, F.lit(" "))).alias("spaced"),
             F.count_if(dots_and_minus_number(v, True)).alias("numberlike"),
             F.count_if(dots_and_minus_number(v, False)).alias("numberlike_any"),
-            F.count(v.try_cast("double")).alias("castable"),
+            # a pattern, because a failed cast costs an exception per value
+            F.count_if(v.rlike(CASTABLE_TEXT)).alias("castable"),
         ).collect()
 
     def _finish(self, name: str, m: dict) -> None:

@@ -222,9 +222,10 @@ def mutual_info(df, target: str, cols: list[str] | None = None, bins: int = 10,
     if f.kinds[target] == "numeric" and distinct[target] > target_classes:
         cut.append(target)
     edges = bin_edges(f, cut, bins)
-    pairs = [F.when(_binned(f, n, edges).isNotNull(), F.struct(F.lit(n).alias("feature"), _binned(f, n, edges).alias("b"))) for n in cols]
-    rows = f.df.select(_binned(f, target, edges).alias("y"), F.explode(F.array(*pairs)).alias("e")).where("e is not null and y is not null")
-    cells = rows.groupBy("e.feature", "e.b", "y").agg(F.count(F.lit(1)).alias("n_by"))
+    binned = f.df.where(c(target).isNotNull()).select(_binned(f, target, edges).alias("y"), *[_binned(f, n, edges).alias(f"b{i}") for i, n in enumerate(cols)])
+    pairs = [x for i, n in enumerate(cols) for x in (F.lit(n), F.col(f"b{i}"))]
+    rows = binned.select("y", F.stack(F.lit(len(cols)), *pairs).alias("feature", "b")).where("b is not null")
+    cells = rows.groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n_by"))
     n_b = cells.groupBy("feature", "b").agg(F.sum("n_by").alias("n_b"))
     n_y = cells.groupBy("feature", "y").agg(F.sum("n_by").alias("n_y"))
     n = cells.groupBy("feature").agg(F.sum("n_by").alias("n"))
