@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tablefit.functions.exprs import c, dots_and_minus_number, long_numbers, row_digest
 from tablefit.functions.ranks import count_values, exact_quantiles, when_map
-from tablefit.sources.tables import column_kinds, integral_cols, normalise
+from tablefit.sources.tables import column_kinds, integral_cols, normalise, spread_small
 
 PAIRS_IN_JVM = 12  # beyond that the generated aggregate code outgrows the JIT limit
 CASTABLE_TEXT = r"^\s*[+-]?([0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))\s*$"
@@ -30,7 +30,7 @@ class Facts:
     """
 
     def __init__(self, df: DataFrame, approx: bool = False):
-        self.df = normalise(df)
+        self.df = spread_small(normalise(df))
         self.spark = df.sparkSession
         self.columns = list(df.columns)
         self.kinds = column_kinds(df)
@@ -46,6 +46,10 @@ class Facts:
         self._top: dict[str, list[tuple[str, int]]] = {}
         self._rows: int | None = None
 
+    def release(self) -> None:
+        """Drop the kept copy of a small table."""
+        self.df.unpersist()
+
     # ---- plain facts -----------------------------------------------------------------------
     @property
     def numeric(self) -> list[str]:

@@ -222,10 +222,20 @@ def mutual_info(df, target: str, cols: list[str] | None = None, bins: int = 10,
     if f.kinds[target] == "numeric" and distinct[target] > target_classes:
         cut.append(target)
     edges = bin_edges(f, cut, bins)
-    binned = f.df.where(c(target).isNotNull()).select(_binned(f, target, edges).alias("y"), *[_binned(f, n, edges).alias(f"b{i}") for i, n in enumerate(cols)])
-    pairs = [x for i, n in enumerate(cols) for x in (F.lit(n), F.col(f"b{i}"))]
-    rows = binned.select("y", F.stack(F.lit(len(cols)), *pairs).alias("feature", "b")).where("b is not null")
-    cells = rows.groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n_by"))
+    base = f.df.where(c(target).isNotNull()).withColumn("__y", _binned(f, target, edges))
+    parts = []
+    numbers, rest = [n for n in cols if n in edges], [n for n in cols if n not in edges]
+    if numbers:  # long form first, then one binning expression for all columns
+        pairs = [x for n in numbers for x in (F.lit(n), c(n).cast("double"))]
+        table = F.create_map(*[x for n in numbers for x in (F.lit(n), F.array(*[F.lit(float(e)) for e in edges[n]]).cast("array<double>"))])
+        spot = F.size(F.filter(table[F.col("feature")], lambda e: e < F.col("v")))
+        rows = base.select(F.col("__y").alias("y"), F.stack(F.lit(len(numbers)), *pairs).alias("feature", "v")).where("v is not null")
+        parts.append(rows.select("y", "feature", spot.cast("string").alias("b")))
+    if rest:
+        pairs = [x for n in rest for x in (F.lit(n), c(n).cast("string"))]
+        parts.append(base.select(F.col("__y").alias("y"), F.stack(F.lit(len(rest)), *pairs).alias("feature", "b")).where("b is not null"))
+    counted = [p.groupBy("feature", "b", "y").agg(F.count(F.lit(1)).alias("n_by")) for p in parts]
+    cells = counted[0] if len(counted) == 1 else counted[0].unionByName(counted[1])
     n_b = cells.groupBy("feature", "b").agg(F.sum("n_by").alias("n_b"))
     n_y = cells.groupBy("feature", "y").agg(F.sum("n_by").alias("n_y"))
     n = cells.groupBy("feature").agg(F.sum("n_by").alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tablefit.functions.exprs import c, quoted
 from tablefit.functions.names import NULL_TOKENS
 
+SMALL_TABLE = 256 << 20  # bytes
 _LOCAL_FOLDER: dict[str, str] = {}
 NUMBER_TEXT = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
@@ -103,6 +104,17 @@ def settle(df: DataFrame) -> DataFrame:
     return back.select(*[c(s).alias(n) for s, n in zip(slots, df.columns)])
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small table over all cores and keep it: a file of one row group is one task
+    otherwise, however many passes follow. Decided by the optimizer's size estimate, so a large
+    table is never copied; what is kept is bounded by SMALL_TABLE."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_TABLE:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism).persist()
+
+
 def numeric_cols(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
@@ -133,5 +145,5 @@ def integral_cols(df: DataFrame) -> set[str]:
 
 __all__ = [
     "NUMBER_TEXT", "categorical_cols", "column_kinds", "integral_cols", "normalise", "numeric_cols",
-    "quoted", "read_table", "require_rows", "settle", "shared_folder", "write_table",
+    "quoted", "read_table", "require_rows", "settle", "shared_folder", "spread_small", "write_table",
 ]
