@@ -101,11 +101,19 @@ def _bracket_counts(rows, keys, brackets):
     for key in keys:
         slots.setdefault(key[0], []).append(key)
     width = max(len(v) for v in slots.values())
-    bound = lambda s, side: when_map(F.col("i"), {i: brackets[v[s]][side] for i, v in slots.items() if s < len(v)})
+    def bounds(side: int) -> Column:
+        """Per column the bracket ends as one array, padded to equal length."""
+        entries = []
+        for i, v in slots.items():
+            ends = [brackets[k][side] for k in v] + [0.0] * (width - len(v))
+            entries += [F.lit(i), F.array(*[F.lit(float(e)) for e in ends])]
+        return F.create_map(*entries)[F.col("i")]
+
+    known = rows.where(F.col("i").isin(list(slots))).select("i", "v", bounds(0).alias("lo"), bounds(1).alias("hi"))
     aggs = []
     for s in range(width):
-        aggs += [F.count_if(F.col("v") < bound(s, 0)).alias(f"a{s}"), F.count_if(F.col("v") <= bound(s, 1)).alias(f"b{s}")]
-    got = rows.where(F.col("i").isin(list(slots))).groupBy("i").agg(*aggs).collect()
+        aggs += [F.count_if(F.col("v") < F.col("lo")[s]).alias(f"a{s}"), F.count_if(F.col("v") <= F.col("hi")[s]).alias(f"b{s}")]
+    got = known.groupBy("i").agg(*aggs).collect()
     return {key: (r[f"a{s}"], r[f"b{s}"]) for r in got for s, key in enumerate(slots[r["i"]])}
 
 
