@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, so that functions that run there can
+    import it wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tablefit-ship-")), f"tablefit-{app}.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
 
 def local_session(cores: int | str = "*", memory: str = "8g", app: str = "tablefit") -> SparkSession:
     """A local session with UTC time, adaptive execution and few shuffle partitions."""
     parts = "8" if cores == "*" else str(cores)
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -20,3 +42,5 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "tablef
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -89,6 +91,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDER:
         _LOCAL_FOLDER[app] = tempfile.mkdtemp(prefix="tablefit-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDER[app], ignore_errors=True)
     return _LOCAL_FOLDER[app]
 
 
