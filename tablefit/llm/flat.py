@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 _M1, _M2, _M3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ from tablefit.llm.common import need, settle, text_key, text_of
 from tablefit.llm.flat import RangeHash, mix, pair, slices
 
 LENGTH = 400
-LOCAL = 1000
+LOCAL = 10_000  # at 201 strings a class and 48 bytes a string, about 100 MB in a task
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
