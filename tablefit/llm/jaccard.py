@@ -292,7 +292,7 @@ def similarity_classes(
     bins = max(spread(docs), int(whole // BIN_BYTES))
     placed = settle(members.join(totals, "root").select("root", "node", "copies", "blocks", "at.__i", "at.__a", "at.__b"))
     # the sets of grouped texts only, from one row for each set
-    texts = slim.withColumn("__i", F.coalesce("doc_id", F.lit(0))).join(placed, ["__i", "__a", "__b"]).select("root", "node", "copies", "blocks", "__text")
+    texts = slim.withColumn("__i", F.coalesce("doc_id", F.lit(0))).join(placed.hint("merge"), ["__i", "__a", "__b"]).select("root", "node", "copies", "blocks", "__text")
     full = texts.mapInArrow(_signed_sets(width, bands * rows), "root long, node long, copies long, blocks int, sig binary, grams binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = F.transform(
