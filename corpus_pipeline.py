@@ -22,10 +22,10 @@ LEAST_SCORE = 0.05
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rank-order profiles learnt from the rows with a language; rows without letters, or too far from
     every profile, go. ``lang`` becomes the predicted language. Null and empty texts go."""
-    columns = docs.columns
-    found = language.predict(docs.withColumnRenamed("lang", "__lang"), language.train(docs), keep=["text", *[c if c != "lang" else "__lang" for c in columns if c != "text"]])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = language.predict(rows, language.train(docs), keep=["row"])
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in columns])
+    return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from tablefit.llm.flat import RangeHash, slices, word_ranges
 CUT = 6  # one word in CUT closes a leaf
 LEAST, MOST = 2, 24  # words of a leaf
 SECTION = 4  # one paragraph in SECTION closes a section
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES, MOST_RANGES = 4 << 20, 2000
 
 
 def _name(data: bytes, size: int = 5) -> str:
@@ -205,7 +205,8 @@ def with_next(df: DataFrame, order: list[str], text: str) -> DataFrame:
     is also put into the range before it, so that no window needs more than one range.
     """
     sizes = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
-    ranges = max(df.sparkSession.sparkContext.defaultParallelism, int((sizes["bytes"] or 0) // BUCKET_BYTES) + 1)
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, int((sizes["bytes"] or 0) // BUCKET_BYTES) + 1)
+    ranges = min(MOST_RANGES, wanted)  # their ends are held by every task; beyond, ranges grow
     key = F.struct(*[F.col(o) for o in order])
     placed = range_buckets(df.withColumn("__key0", key), F.col("__key0"), ranges, sizes["n"], "__bucket")
     # one row per range: its first key and text

@@ -115,7 +115,7 @@ def _positions(length: int):
 def _window_names(context: bytes, before: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets d and ranks of the strings that start d bytes before the standing position, ranked by
     the pair of the ranks of their halves."""
-    half = length // 2
+    half = (length + 1) // 2  # the halves of an odd length overlap
     halves = RangeHash(np.frombuffer(context, np.uint8)).fixed(half)
     n = len(context) - length + 1
     ranks = pair(halves[:n], halves[length - half : length - half + n])
@@ -284,7 +284,7 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
 def _finish(digest: bool):
     def run(batches):
         for batch in batches:
-            texts, spans = batch.column(batch.schema.get_field_index("__text")), batch.column(batch.schema.get_field_index("spans"))
+            texts, spans = batch.column(batch.schema.get_field_index("__text")), batch.column(batch.schema.get_field_index("__spans"))
             rows = []
             for t, s in zip(texts, spans):
                 raw = t.as_py().encode("utf-8", "surrogatepass")
@@ -295,7 +295,7 @@ def _finish(digest: bool):
                     rows.append((cut_out(raw, whole_characters(raw, runs)).decode("utf-8", "replace"),))
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digest else ["__kept"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] if digest else [pa.string()]
-            rest = batch.drop_columns(["__text", "spans"])
+            rest = batch.drop_columns(["__text", "__spans"])
             cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
             yield pa.RecordBatch.from_arrays([*rest.columns, *cols], names=[*rest.schema.names, *names])
 
@@ -305,7 +305,7 @@ def _finish(digest: bool):
 def _joined(docs: DataFrame, keep: list[str], length: int, local: int) -> DataFrame:
     a, b = text_key(text_of(docs))
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(docs).alias("__text"), a.alias("__a"), b.alias("__b"))
-    spans = settle(repeated_spans(docs, "text", length, local))
+    spans = settle(repeated_spans(docs, "text", length, local)).withColumnRenamed("spans", "__spans")
     return slim.join(spans, ["__a", "__b"], "left").drop("__a", "__b")
 
 
@@ -328,7 +328,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, local: int = LOCAL) -
     need(docs, "doc_id", "text")
     keep = [c for c in docs.columns if c != "text"]
     wide = _joined(docs.withColumn("__null", F.col("text").isNull()), [*keep, "__null"], length, local)
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wide.schema if f.name not in ("__text", "spans"))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wide.schema if f.name not in ("__text", "__spans"))
     out = wide.mapInArrow(_finish(False), kept + "__kept string")
     text = F.when(~F.col("__null"), F.col("__kept"))
     cols = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
