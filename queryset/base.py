@@ -39,6 +39,11 @@ INPUTS = {
         "l_quantity * l_quantity AS squared, l_extendedprice, l_extendedprice * 1.0001 AS price_copy, l_discount, "
         "l_returnflag FROM {lineitem}"
     ),
+    # more numeric columns than any fixed prefix
+    "lineitem_wide": (
+        "SELECT l_returnflag, " + ", ".join(f"l_quantity * {i % 5} + l_extendedprice * {i // 5 % 5} * l_discount + l_tax * l_linenumber * {i} AS w{i}" for i in range(1, 19))
+        + " FROM {lineitem}"
+    ),
     "part_mixed": (
         "SELECT p_partkey, p_brand, p_type, p_size, p_retailprice, "
         "CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS STRING) ELSE p_brand END AS mixed, "
@@ -136,6 +141,7 @@ KINDS = {
     "orders_dirty": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:n o_orderdate:d o_orderpriority:s memo:s constant_col:i",
     "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:n l_extendedprice:n l_discount:n l_tax:n l_returnflag:s l_linestatus:s l_shipdate:d",
     "lineitem_numbers": "l_linenumber:i l_quantity:n l_extendedprice:n l_discount:n l_tax:n",
+    "lineitem_wide": "l_returnflag:s " + " ".join(f"w{i}:n" for i in range(1, 19)),
     "lineitem_skew": "l_orderkey:i l_linenumber:i l_quantity:n skewed:n mirrored:n squared:n l_extendedprice:n price_copy:n l_discount:n l_returnflag:s",
     "customer": "c_custkey:i c_name:s c_nationkey:i c_acctbal:n c_mktsegment:s",
     "supplier": "s_suppkey:i s_name:s s_nationkey:i s_acctbal:n",

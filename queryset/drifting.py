@@ -153,7 +153,8 @@ _psi_cat = (
     f"FROM (SELECT event_type AS v, count(*) * 1.0 / sum(count(*)) OVER () AS pe FROM {_b} GROUP BY 1) x FULL JOIN (SELECT event_type AS v, count(*) * 1.0 / sum(count(*)) OVER () AS po FROM {_a} GROUP BY 1) y USING (v))"
 )
 # asymptotic critical values of the scaled KS statistic: 1.6276 for .01 and 1.3581 for .05
-_scaled = lambda n: f"(sqrt(1001.0 * (SELECT count({n}) FROM {_a}) / (1001.0 + (SELECT count({n}) FROM {_a}))) + 0.12 + 0.11 / sqrt(1001.0 * (SELECT count({n}) FROM {_a}) / (1001.0 + (SELECT count({n}) FROM {_a})))) * value"
+_sizes = lambda n: f"(SELECT count({n}) * 1.0 FROM {_b}) * (SELECT count({n}) FROM {_a}) / ((SELECT count({n}) FROM {_b}) + (SELECT count({n}) FROM {_a}))"
+_scaled = lambda n: f"(sqrt({_sizes(n)}) + 0.12 + 0.11 / sqrt({_sizes(n)})) * value"
 _sev = " UNION ALL ".join(f"SELECT *, CASE WHEN {_scaled(n)} > 1.6276 THEN 'HIGH' WHEN {_scaled(n)} > 1.3581 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM ({_ks_grid(n)})" for n in ("user_id", "value"))
 REG.add(
     "drift_vs_baseline_events", vs_baseline,

@@ -115,21 +115,21 @@ REG.add("attribution_documents", lambda spark, sf: TR.attribution_summary(TR.att
 
 # ---- anomalies and clusters --------------------------------------------------------------------
 _prices = "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM {lineitem}"
-REG.add("anomalies_lineitem", lambda spark, sf: A.anomalies(read(spark, sf, _prices), ["l_orderkey", "l_linenumber"], trees=50))
-REG.add("anomalies_documents", lambda spark, sf: A.anomalies(read(spark, sf, _docs), ["doc_id"], "quality", rules="auto", trees=50))
+REG.add("anomalies_lineitem", lambda spark, sf: A.anomalies(read(spark, sf, _prices), ["l_orderkey", "l_linenumber"]).select("rows"), "SELECT count(*) AS rows FROM lineitem")
+REG.add("anomalies_documents", lambda spark, sf: A.anomalies(read(spark, sf, _docs), ["doc_id"], "quality", rules="auto"))
 _flagged = "SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_quantity > 48 AS odd FROM {lineitem}"
 REG.add(
     "deviation_lineitem", lambda spark, sf: A.deviation(read(spark, sf, _flagged), "odd"),
     " UNION ALL ".join(f"SELECT '{n}' AS \"column\", {r4(f'abs(avg({n}) FILTER (WHERE odd) - avg({n}) FILTER (WHERE NOT odd)) / (stddev_samp({n}) FILTER (WHERE NOT odd) + 1e-9)', 3)} AS deviation FROM {src(_flagged)}" for n in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
 )
-_vec = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM {embeddings}"
-_vec_duck = "(SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings)"
-_dims = [f"e{i}" for i in range(8)]
+_vec = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM {embeddings}"
+_vec_duck = "(SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings)"
+_dims = [f"e{i}" for i in range(64)]
 REG.add("cluster_embeddings", lambda spark, sf: K.cluster(read(spark, sf, _vec), ["vec_id", "label"]))
-REG.add("cluster_stability_embeddings", lambda spark, sf: K.cluster_stability(read(spark, sf, _vec), 3, ["vec_id", "label"], rounds=3))
-_cen = "c AS (SELECT label, count(*) AS n, " + ", ".join(f"avg(e{i}) AS m{i}" for i in range(8)) + f" FROM {_vec_duck} GROUP BY 1)"
-_dist = "sqrt(" + " + ".join(f"(e{i} - m{i}) ** 2" for i in range(8)) + ")"
-_gap = "sqrt(" + " + ".join(f"(a.m{i} - b.m{i}) ** 2" for i in range(8)) + ")"
+REG.add("cluster_stability_embeddings", lambda spark, sf: K.cluster_stability(read(spark, sf, _vec), 3, ["vec_id", "label"]))
+_cen = "c AS (SELECT label, count(*) AS n, " + ", ".join(f"avg(e{i}) AS m{i}" for i in range(64)) + f" FROM {_vec_duck} GROUP BY 1)"
+_dist = "sqrt(" + " + ".join(f"(e{i} - m{i}) ** 2" for i in range(64)) + ")"
+_gap = "sqrt(" + " + ".join(f"(a.m{i} - b.m{i}) ** 2" for i in range(64)) + ")"
 REG.add(
     "cluster_report_embeddings", lambda spark, sf: K.cluster_report(read(spark, sf, _vec), "label", _dims),
     f"WITH {_cen}, s AS (SELECT label, avg({_dist}) AS d FROM {_vec_duck} JOIN c USING (label) GROUP BY 1), w AS (SELECT a.label, max((x.d + y.d) / {_gap}) AS r FROM c a JOIN c b ON a.label <> b.label JOIN s x ON x.label = a.label JOIN s y ON y.label = b.label GROUP BY 1) "
@@ -137,6 +137,6 @@ REG.add(
 )
 REG.add(
     "centroid_spread_embeddings", lambda spark, sf: K.centroid_spread(read(spark, sf, _vec), "label", _dims),
-    f"WITH {_cen}, v AS (SELECT " + ", ".join(f"stddev_pop(m{i}) AS s{i}" for i in range(8)) + " FROM c), t AS (SELECT " + " + ".join(f"s{i}" for i in range(8)) + " AS total FROM v) "
-    + " UNION ALL ".join(f"SELECT 'e{i}' AS \"column\", {r4(f's{i} / total')} AS influence FROM v, t" for i in range(8)),
+    f"WITH {_cen}, v AS (SELECT " + ", ".join(f"stddev_pop(m{i}) AS s{i}" for i in range(64)) + " FROM c), t AS (SELECT " + " + ".join(f"s{i}" for i in range(64)) + " AS total FROM v) "
+    + " UNION ALL ".join(f"SELECT 'e{i}' AS \"column\", {r4(f's{i} / total')} AS influence FROM v, t" for i in range(64)),
 )

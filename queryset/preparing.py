@@ -408,10 +408,10 @@ def interactions_sql(name, y, logs=()):
     num = [n for n in numeric_of(name) if n != y]
     out = [f"{r4(n)} AS {n}" if k == "n" else n for n, k in columns_of(name)]
     d = {n: f"CAST({n} AS DOUBLE)" for n in num}
-    out += [f"{r4(f'{d[a]} * {d[b]}')} AS {a}_x_{b}" for i, a in enumerate(num[:6]) for b in num[i + 1:6]]
-    out += [f"{r4(f'coalesce({d[a]} / nullif({d[b]}, 0), 0)')} AS {a}_div_{b}" for i, a in enumerate(num[:4]) for b in num[i + 1:4]]
+    out += [f"{r4(f'{d[a]} * {d[b]}')} AS {a}_x_{b}" for i, a in enumerate(num) for b in num[i + 1:]]
+    out += [f"{r4(f'coalesce({d[a]} / nullif({d[b]}, 0), 0)')} AS {a}_div_{b}" for i, a in enumerate(num) for b in num[i + 1:]]
     out += [f"{r4(f'ln(1 + {d[n]})')} AS log_{n}" for n in logs]
-    out += [f"{r4(f'{d[n]} * {d[n]}')} AS {n}_sq" for n in num[:3]]
+    out += [f"{r4(f'{d[n]} * {d[n]}')} AS {n}_sq" for n in num]
     return f"SELECT {', '.join(out)} FROM {src(name)}"
 
 

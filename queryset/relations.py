@@ -151,6 +151,12 @@ REG.add(
     "SELECT CASE WHEN feature_1 = 'p_retailprice' THEN feature_2 ELSE feature_1 END AS feature, "
     f"{r4('r * r / (1 - r * r) * ((SELECT count(*) FROM part) - 2)', 2)} AS f_statistic FROM ({corr_sql('part')}) WHERE 'p_retailprice' IN (feature_1, feature_2)",
 )
+_both = "o_totalprice IS NOT NULL"
+_reg_f = lambda n: f"SELECT '{n}' AS feature, r * r / (1 - r * r) * (n - 2) AS f FROM (SELECT corr({n}, o_totalprice) AS r, count(*) AS n FROM {src('orders_nulls')} WHERE {n} IS NOT NULL AND {_both})"
+REG.add(
+    "f_regression_orders_nulls", lambda spark, sf: R.f_test(read(spark, sf, "orders_nulls"), "o_totalprice", True).drop("p_value"),
+    f"SELECT feature, {r4('f', 2)} AS f_statistic FROM ({_reg_f('o_orderkey')} UNION ALL {_reg_f('o_custkey')})",
+)
 REG.add(
     "signal_strength_documents_labels", _q(R.signal_strength, "documents_labels", "quality"),
     f"SELECT CASE WHEN feature_1 = 'quality' THEN feature_2 ELSE feature_1 END AS feature, {r4('abs(coalesce(r, 0))')} AS signal FROM ({corr_sql('documents_labels')}) WHERE 'quality' IN (feature_1, feature_2) "
@@ -242,7 +248,7 @@ def weighted_quality_cte(name, y):
 
 _d = "completeness, uniqueness, consistency, class_balance, feature_quality, adequacy, overall_score"
 _grade = "CASE WHEN overall_score >= 85 THEN 'A' WHEN overall_score >= 70 THEN 'B' WHEN overall_score >= 55 THEN 'C' WHEN overall_score >= 40 THEN 'D' ELSE 'F' END"
-for name, y in (("orders_dirty", "o_orderstatus"), ("lineitem_skew", "l_returnflag"), ("part_mixed", "p_type")):
+for name, y in (("orders_dirty", "o_orderstatus"), ("lineitem_skew", "l_returnflag"), ("part_mixed", "p_type"), ("lineitem_wide", "l_returnflag")):
     REG.add(
         f"quality_simple_{name}", _q(Q.quality_score, name, y),
         f"WITH {simple_quality_cte(name, y)} SELECT {_d}, CASE WHEN overall_score >= 90 THEN 'Excellent' WHEN overall_score >= 75 THEN 'Good' WHEN overall_score >= 60 THEN 'Fair' ELSE 'Poor' END AS status FROM q",
@@ -415,7 +421,7 @@ def ci_sql(name, key, y, n):
     cols = columns_of(name)
     num = [c for c in numeric_of(name)]
     k = len(cols)
-    out_cols = [c for c in num if c != y][:15]
+    out_cols = [c for c in num if c != y]
     fence = {c: f"(SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM t)" for c in out_cols}
     fence_hi = {c: f"(SELECT quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM t)" for c in out_cols}
     fences = "fen AS (SELECT " + ", ".join(f"{fence[c]} AS lo_{c}, {fence_hi[c]} AS hi_{c}" for c in out_cols) + ")"

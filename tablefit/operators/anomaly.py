@@ -48,7 +48,8 @@ def _average_path(n):
 
 
 def isolation_scores(df, key: list[str], target: str | None = None, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Key columns and ``score`` in (0, 1); larger is more anomalous.
+    """The table with ``score`` in (0, 1); larger is more anomalous. Rows are scored in place, so keys
+    need not be unique; the key only picks the samples.
 
     Trees are grown in parallel from at most ``sample`` hash-picked rows each (the algorithm's own
     subsample); the grown nodes (trees x 2 x sample at most) go to every task and all rows are scored."""
@@ -58,12 +59,14 @@ def isolation_scores(df, key: list[str], target: str | None = None, trees: int =
         raise ValueError("needs at least two numeric columns and 20 rows")
     medians = f.quantiles([0.5], cols)
     x = [F.coalesce(c(n).cast("double"), F.lit(medians[n][0.5])).alias(f"f{i}") for i, n in enumerate(cols)]
-    data = f.df.select(*[c(k) for k in key], *x)
+    data = f.df.select(hash_key(key).alias("h"), F.xxhash64(*[c(n) for n in f.columns]).alias("row"), *x)
     share = min(1.0, 4.0 * sample / f.rows)  # each tree first keeps about 4 samples' worth of rows
-    spread = data.select(hash_key(key).alias("h"), *[f"f{i}" for i in range(len(cols))]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) if share == 1.0 else _presample(data, key, cols, trees, share)
-    order = W.partitionBy("tree").orderBy(F.md5(F.concat_ws("-", "h", F.col("tree").cast("string"))))
-    picked = spread.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample).drop("rn", "h")
+    spread = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))) if share == 1.0 else _presample(data, trees, share)
+    order = W.partitionBy("tree").orderBy(F.md5(F.concat_ws("-", "h", F.col("tree").cast("string"))), "row")
+    picked = spread.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample).drop("rn", "h", "row")
     nodes = picked.groupBy("tree").applyInPandas(_grow(len(cols), seed), NODES).toPandas()
+    if nodes["tree"].nunique() < trees:
+        raise RuntimeError(f"{trees - nodes['tree'].nunique()} of {trees} trees got no rows")
     size = int(min(sample, f.rows))
     packed = f.spark.sparkContext.broadcast([g.set_index("node").sort_index() for _, g in nodes.groupby("tree")])
 
@@ -86,15 +89,15 @@ def isolation_scores(df, key: list[str], target: str | None = None, trees: int =
             total += depth + _average_path(count[at])
         return pd.Series(2.0 ** (-(total / len(packed.value)) / float(_average_path(size))))
 
-    return data.select(*[c(k) for k in key], score(*[F.col(f"f{i}") for i in range(len(cols))]).alias("score"))
+    return f.df.withColumn("score", score(*x))
 
 
-def _presample(data: DataFrame, key: list[str], cols: list[str], trees: int, share: float) -> DataFrame:
-    """(tree, row) pairs that pass a per-tree hash threshold; nothing else is emitted."""
+def _presample(data: DataFrame, trees: int, share: float) -> DataFrame:
+    """(tree, row) pairs whose 64-bit hash lies below a share of its range; nothing else is emitted."""
     ids = F.sequence(F.lit(0), F.lit(trees - 1))
-    base = data.select(hash_key(key).alias("h"), *[f"f{i}" for i in range(len(cols))])
-    chosen = F.filter(ids, lambda t: F.pmod(F.xxhash64(F.col("h"), t), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    return base.withColumn("tree", F.explode(chosen))
+    below = -(1 << 63) + int(share * (1 << 64))
+    chosen = F.filter(ids, lambda t: F.xxhash64(F.col("h"), F.col("row"), t) < F.lit(below))
+    return data.withColumn("tree", F.explode(chosen))
 
 
 def contamination(rows: int, rules: str = "fixed") -> float:
@@ -104,10 +107,10 @@ def contamination(rows: int, rules: str = "fixed") -> float:
 def flag_anomalies(df, key: list[str], target: str | None = None, rules: str = "fixed", trees: int = 100) -> DataFrame:
     """The table with ``score`` and ``is_anomaly``: rows above the exact score quantile."""
     f = as_facts(df)
-    scores = settle(isolation_scores(f, key, target, trees))
+    scored = settle(isolation_scores(f, key, target, trees))
     p = 1 - contamination(f.rows, rules)
-    cut = exact_quantiles(scores, ["score"], [p])["score"][p]
-    return f.df.join(scores.withColumn("is_anomaly", F.col("score") > F.lit(cut)), key)
+    cut = exact_quantiles(scored.select("score"), ["score"], [p])["score"][p]
+    return scored.withColumn("is_anomaly", F.col("score") > F.lit(cut))
 
 
 def anomalies(df, key: list[str], target: str | None = None, rules: str = "fixed", trees: int = 100) -> DataFrame:
@@ -119,6 +122,18 @@ def anomalies(df, key: list[str], target: str | None = None, rules: str = "fixed
     return t.select("anomaly_count", "rows", rounded(pct, 2).alias("anomaly_percent"), band.alias("severity"))
 
 
+def most_anomalous(flagged: DataFrame, n: int = 10) -> DataFrame:
+    """The n rows with the highest scores (a top-n report)."""
+    return flagged.orderBy(F.col("score").desc(), F.xxhash64(*[c(x) for x in flagged.columns])).limit(n)
+
+
+def top_features(flagged: DataFrame, n: int = 3, target: str | None = None) -> DataFrame:
+    """The n numeric columns in which flagged rows lie farthest from the rest."""
+    skip = {"score", "is_anomaly", target}
+    cols = [x for x in Facts(flagged.drop("is_anomaly")).numeric if x not in skip]
+    return deviation(flagged.drop("score"), "is_anomaly", cols).orderBy(F.col("deviation").desc(), "column").limit(n)
+
+
 def deviation(df: DataFrame, flag: str, cols: list[str] | None = None) -> DataFrame:
     """Per numeric column: |mean of flagged - mean of the rest| / (deviation of the rest + 1e-9)."""
     f = Facts(df.drop(flag))

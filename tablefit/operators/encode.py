@@ -60,11 +60,9 @@ def encode_binary(df: DataFrame, name: str) -> DataFrame:
     return replace(df, {name: F.when(text == F.lit(high), 1).otherwise(0)})
 
 
-def categories(df: DataFrame, name: str, limit: int = LITERAL_VALUES) -> list[str]:
-    got = [r["value"] for r in counted(df, as_text(name)).limit(limit + 1).collect()]
-    if len(got) > limit:
-        raise ValueError(f"column {name} has more than {limit} categories")
-    return sorted(got)
+def categories(df: DataFrame, name: str) -> list[str]:
+    """Sorted categories; one column is made of each, so the caller picks columns with few."""
+    return sorted(r["value"] for r in counted(df, as_text(name)).select("value").collect())
 
 
 def one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -77,7 +75,10 @@ def one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def encode_freq_rank(df: DataFrame, name: str) -> DataFrame:
     """Dense rank of the category frequency, most frequent first."""
-    ranked = counted(df, as_text(name)).withColumn("code", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(F.col("cnt").desc())))
+    values = counted(df, as_text(name))
+    # ranks depend on the distinct counts alone (at most the square root of twice the rows); only those are sorted
+    sizes = values.select("cnt").distinct().withColumn("code", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("cnt").desc())))
+    ranked = values.join(sizes, "cnt").select("value", "cnt", "code")
     return apply_lookup(df, name, as_text(name), ranked, 0)
 
 

@@ -16,23 +16,23 @@ from tablefit.operators.facts import Facts, as_facts, pair_correlations
 EPSILON = 1e-8
 
 
-def interactions(df, target: str | None = None) -> DataFrame:
-    """Products of the first 6 numeric columns, ratios of the first 4 (where most denominators are
-    not 0), log1p of skewed columns and squares of the first 3, as new columns."""
+def interactions(df, target: str | None = None, cols: list[str] | None = None) -> DataFrame:
+    """Products and ratios of pairs of numeric columns (ratios where most denominators are not 0),
+    log1p of skewed columns and squares, as new columns. ``cols`` limits pairs and squares to some columns."""
     f = as_facts(df)
-    return f.df.select("*", *[e.alias(n) for n, e in interaction_columns(f, target).items()])
+    return f.df.select("*", *[e.alias(n) for n, e in interaction_columns(f, target, cols).items()])
 
 
-def interaction_columns(f: Facts, target: str | None) -> dict:
-    cols = [n for n in f.numeric if n != target]
-    num = {n: c(n).cast("double") for n in cols}
-    out = {f"{a}_x_{b}": num[a] * num[b] for a, b in combinations(cols[:6], 2)}
-    for a, b in combinations(cols[:4], 2):
+def interaction_columns(f: Facts, target: str | None, only: list[str] | None = None) -> dict:
+    num = {n: c(n).cast("double") for n in f.numeric if n != target}
+    cols = [n for n in num if only is None or n in only]
+    out = {f"{a}_x_{b}": num[a] * num[b] for a, b in combinations(cols, 2)}
+    for a, b in combinations(cols, 2):
         m = f.scan()[b]
         if (m["present"] - m["zeros"]) / max(f.rows, 1) > 0.5:
             out[f"{a}_div_{b}"] = F.coalesce(num[a] / F.nullif(num[b], F.lit(0.0)), F.lit(0.0))
     out |= {f"log_{n}": F.log1p(num[n]) for n in skewed_columns(f, target)}
-    return out | {f"{n}_sq": num[n] * num[n] for n in cols[:3]}
+    return out | {f"{n}_sq": num[n] * num[n] for n in cols}
 
 
 def date_columns(f: Facts, target: str | None = None, share: float = 0.7) -> list[str]:
@@ -68,22 +68,24 @@ def rank_features(df, target: str, k: int = 20) -> DataFrame:
 
 
 def gated_interactions(
-    df, target: str, difference: bool = False, top_k: int = 5, min_rows: int = 300, max_features: int = 50, min_corr: float = 0.03
+    df, target: str, difference: bool = False, top_k: int = 5, min_corr: float = 0.03
 ) -> DataFrame:
     """Products and ratios of the features most correlated with the target, kept when their own
     correlation beats the best single feature or ``min_corr``, up to a budget, in pair order.
 
     All candidates are judged in one scan; the driver only walks the ordered budget."""
-    return gated_plan(df, target, difference, top_k, min_rows, max_features, min_corr)[0]
+    return gated_plan(df, target, difference, top_k, min_corr)[0]
 
 
-def gated_plan(df, target, difference=False, top_k=5, min_rows=300, max_features=50, min_corr=0.03):
+def gated_plan(df, target, difference=False, top_k=5, min_corr=0.03):
+    """The table with its kept columns, and (name, correlation) of each. A target that is not a
+    varying number, or fewer than two varying features, has nothing to correlate: no columns are made."""
     f = as_facts(df)
     n_features = len(f.columns) - 1
     scan = f.scan()
     live = [n for n in f.numeric if n != target and scan[n]["present"] and scan[n]["min"] != scan[n]["max"]]
     fixed = f.kinds[target] != "numeric" or scan[target]["min"] == scan[target]["max"]
-    if f.rows < min_rows or n_features > max_features or fixed or len(live) < 2:
+    if fixed or len(live) < 2:
         return f.df, []
     own = {n: abs(r or 0.0) for n, r in f.corr_with(target, live).items()}
     best = sorted(live, key=lambda n: -own[n])[:top_k]  # stable: schema order on ties

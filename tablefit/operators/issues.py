@@ -192,11 +192,12 @@ def readiness_samples(df, key: list[str], target: str, n: int = 50) -> DataFrame
     """
     f = as_facts(df)
     scan, k = f.scan(), len(f.columns)
-    masks = small_table(f.spark, [(i, m - (1 << 64) if m >= 1 << 63 else m) for i, m in enumerate(subsample_masks(n))], [("i", "int"), ("mask", "bigint")])
+    # (subsample, block) pairs: n * 51 rows, so every union below is an equi-join on the block
+    members = small_table(f.spark, [(i, b) for i, m in enumerate(subsample_masks(n)) for b in range(BLOCKS) if m >> b & 1], [("i", "int"), ("b", "int")])
+    members = F.broadcast(members)
     placed = f.df.withColumn("__b", block_of(key))
     numbers, y = f.numeric, c(target).cast("string")
-    fences = f.fences([x for x in numbers if x != target][:15])
-    inside = lambda: F.expr("((mask >> b) & 1) = 1")
+    fences = f.fences([x for x in numbers if x != target])
 
     # block statistics: one row per block
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -212,7 +213,7 @@ def readiness_samples(df, key: list[str], target: str, n: int = 50) -> DataFrame
         dx, dy = F.when(dy.isNotNull(), dx), F.when(dx.isNotNull(), dy)
         aggs += [F.count(dx).alias(f"cn{j}"), F.sum(dx).alias(f"cx{j}"), F.sum(dy).alias(f"cy{j}"), F.sum(dx * dx).alias(f"cxx{j}"), F.sum(dy * dy).alias(f"cyy{j}"), F.sum(dx * dy).alias(f"cxy{j}")]
     blocks = placed.groupBy(F.col("__b").alias("b")).agg(*aggs)
-    merged = F.broadcast(masks).join(blocks, inside()).groupBy("i").agg(
+    merged = blocks.join(members, "b").groupBy("i").agg(
         F.sum("n").alias("n"),
         *[F.sum(f"p{i}").alias(f"p{i}") for i in range(k)],
         *[(F.coalesce(F.min(f"lo{i}") == F.max(f"hi{i}"), F.lit(True))).alias(f"const{i}") for i in range(k)],
@@ -223,9 +224,10 @@ def readiness_samples(df, key: list[str], target: str, n: int = 50) -> DataFrame
     bit = F.expr("shiftleft(1L, __b)")
     prints = placed.select(*row_digest(f.df), bit.alias("bit")).groupBy("d1", "d2").agg(F.bit_or("bit").alias("seen"))
     seen = prints.groupBy("seen").agg(F.count(F.lit(1)).alias("cnt"))
-    distinct = F.broadcast(masks).join(seen, F.expr("(mask & seen) <> 0")).groupBy("i").agg(F.sum("cnt").alias("distinct_rows"))
+    bits = seen.withColumn("b", F.explode(F.filter(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda x: F.getbit(F.col("seen"), x) == 1)))
+    distinct = bits.join(members, "b").select("i", "seen", "cnt").distinct().groupBy("i").agg(F.sum("cnt").alias("distinct_rows"))
     classes = placed.where(y.isNotNull()).groupBy(y.alias("y"), F.col("__b").alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
-    per_class = F.broadcast(masks).join(classes, inside()).groupBy("i", "y").agg(F.sum("cnt").alias("cnt"))
+    per_class = classes.join(members, "b").groupBy("i", "y").agg(F.sum("cnt").alias("cnt"))
     balance = per_class.groupBy("i").agg(F.count(F.lit(1)).alias("k_y"), F.max("cnt").alias("y_hi"), F.min("cnt").alias("y_lo"))
 
     t = merged.join(distinct, "i").join(balance, "i", "left")

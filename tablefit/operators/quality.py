@@ -41,7 +41,7 @@ def simple_dimensions(f: Facts, target: str | None) -> dict[str, float]:
         got = class_counts(f.df, target).agg(F.count(F.lit(1)).alias("k"), F.max("cnt").alias("hi"), F.min("cnt").alias("lo")).first()
         if got["k"] >= 2:
             balance = max(0.0, 100 - math.log10(max(got["hi"] / got["lo"], 1)) * 30)
-    cols = [c_ for c_ in f.numeric if c_ != target][:15]
+    cols = [c_ for c_ in f.numeric if c_ != target]
     outs = f.outliers(cols)
     rates = [outs[c_][1] / scan[c_]["present"] * 100 for c_ in cols if scan[c_]["present"] > 3]
     rate = sum(rates) / len(rates) if rates else 0.0

@@ -16,6 +16,8 @@ from tablefit.sources.tables import settle
 PAIR_FIELDS = [("feature_1", "string"), ("feature_2", "string"), ("pearson", "double")]
 
 
+SMALL_TOTALS = 200_000  # rows that may be broadcast: about 10 MB
+
 def _pairs_table(f: Facts, pairs: dict) -> DataFrame:
     rows = [(a, b, float(r)) for (a, b), r in pairs.items() if r is not None]
     return small_table(f.spark, rows, PAIR_FIELDS)
@@ -239,6 +241,8 @@ def mutual_info(df, target: str, cols: list[str] | None = None, bins: int = 10,
     n_b = cells.groupBy("feature", "b").agg(F.sum("n_by").alias("n_b"))
     n_y = cells.groupBy("feature", "y").agg(F.sum("n_by").alias("n_y"))
     n = cells.groupBy("feature").agg(F.sum("n_by").alias("n"))
+    # class totals are few; as a broadcast they keep the cells of one class from meeting in one task
+    n_y = F.broadcast(n_y) if len(cols) * min(distinct[target], target_classes if target in edges else distinct[target]) <= SMALL_TOTALS else n_y
     full = cells.join(n_b, ["feature", "b"]).join(n_y, ["feature", "y"]).join(F.broadcast(n), "feature")
     term = F.col("n_by") / F.col("n") * F.log(F.col("n_by").cast("double") * F.col("n") / (F.col("n_b").cast("double") * F.col("n_y")))
     return full.groupBy("feature").agg(F.sum(term).alias("mi")).select("feature", rounded(F.greatest(F.col("mi"), F.lit(0.0))).alias("mutual_information"))
@@ -251,9 +255,10 @@ def f_test(df, target: str, regression: bool = False) -> DataFrame:
     cols = [n for n in f.numeric if n != target]
     if regression:
         rs, rows = f.corr_with(target), []
-        for name in cols:
-            n, r = min(f.scan()[name]["present"], f.scan()[target]["present"]), rs[name]
-            if r is not None and abs(r) < 1:
+        both = f.df.where(c(target).isNotNull()).agg(*[F.count(c(n)).alias(f"n{i}") for i, n in enumerate(cols)]).first() if cols else {}
+        for i, name in enumerate(cols):
+            n, r = both[f"n{i}"], rs[name]
+            if r is not None and abs(r) < 1 and n > 2:
                 stat = r * r / (1 - r * r) * (n - 2)
                 rows.append((name, stat, f_sf(stat, 1, n - 2)))
         t = small_table(f.spark, rows, [("feature", "string"), ("f_statistic", "double"), ("p_value", "double")])

@@ -11,7 +11,9 @@ from tablefit.functions.pvalues import beta_i, chi2_sf, f_sf, kolmogorov_sf
 from tablefit.operators import drift as D
 from tablefit.operators import scoring as SC
 from tablefit.operators import training as TR
+from tablefit.operators import anomaly as AN
 from tablefit.operators.anomaly import flag_anomalies
+from tablefit.operators.facts import Facts
 from tablefit.sources.tables import shared_folder
 from tablefit.streaming.drift_stream import drift_stream, verdicts
 
@@ -102,6 +104,43 @@ def test_anomaly_share_and_hits(planted):
     assert len(flagged) == 30 and set(range(5)) <= flagged
 
 
+def test_anomalies_keep_rows_of_repeated_keys(planted):
+    t = planted.drop("y").withColumn("id", F.col("id") % 7)
+    flagged = flag_anomalies(t, ["id"], trees=10)
+    assert flagged.count() == 600 and flagged.where("score is null").count() == 0
+    assert AN.most_anomalous(flagged).count() == 10 and AN.top_features(flagged, 2).count() == 2
+
+
+def test_scores_of_a_table_that_claims_to_be_huge(planted):
+    f = Facts(planted.drop("y"))
+    f.scan()
+    f._rows = 40_000
+    scores = AN.isolation_scores(f, ["id"], trees=5)
+    assert scores.where("score is null").count() == 0
+    f = Facts(planted.drop("y"))
+    f.scan()
+    f._rows = 10**13
+    with pytest.raises(RuntimeError):  # no row is picked: said aloud, not scored as null
+        AN.isolation_scores(f, ["id"], trees=5)
+
+
+def test_column_of_another_kind_is_a_mismatch(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "n int, t string"), spark.createDataFrame([("k", "x"), ("l", "x")], "n string, t string")
+    rows = {r["column"]: r for r in D.drift_columns(a, b).collect()}
+    assert rows["n"]["dtype"] == "mismatch" and rows["n"]["drift_severity"] == "SIGNIFICANT_DRIFT" and len(rows) == 2
+    assert D.drift_report(a, b).first()["overall_risk"] == "HIGH"
+
+
+@pytest.mark.parametrize("n", [12, 3000])
+def test_baseline_of_any_size_raises_no_alarm(spark, n):
+    rng = np.random.default_rng(8)
+    high = 0
+    for i in range(3):
+        base = D.Baseline.of(spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=n)})))
+        high += D.drift_vs_baseline(base, spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=2000)}))).first()["severity"] == "HIGH"
+    assert high == 0
+
+
 def test_attribution_adds_up(planted):
     data = planted.where("id > 4")
     values = TR.attribution(data, "y", ["id"], permutations=3, trees=8)

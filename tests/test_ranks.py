@@ -85,4 +85,4 @@ def test_kendall_and_spearman(spark, frame):
     pair = small[["x", "z"]].dropna()
     assert kendall(clean, "x", "z") == pytest.approx(brute_tau(pair["x"].values, pair["z"].values), abs=1e-12)
     rho = spearman(clean, [("x", "z")])[("x", "z")]
-    assert rho == pytest.approx(pair["x"].corr(pair["z"], method="spearman"), abs=1e-9)
+    assert rho == pytest.approx(pair["x"].rank().corr(pair["z"].rank()), abs=1e-9)
