@@ -26,6 +26,7 @@ CUT = 6  # one word in CUT closes a leaf
 LEAST, MOST = 2, 24  # words of a leaf
 SECTION = 4  # one paragraph in SECTION closes a section
 BUCKET_BYTES, MOST_RANGES = 4 << 20, 2000
+ROWS = 500
 
 
 def _name(data: bytes, size: int = 5) -> str:
@@ -170,7 +171,8 @@ def _fingerprints(columns: list[str]):
     likeness of the first to each other one."""
 
     def run(batches):
-        for batch in batches:
+        # few rows at a time: the weights of all their leaves are held
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             done, near = {}, {c: [] for c in columns[1:]}
             first: list[Counter] = []
             for c in columns:
