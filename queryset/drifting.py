@@ -10,7 +10,7 @@ from queryset.base import Registry, r4, read, src
 from tablefit.functions.exprs import rounded
 from tablefit.operators import drift as D
 from tablefit.sources.tables import shared_folder
-from tablefit.streaming.drift_stream import drift_stream
+from tablefit.streaming.drift_stream import drift_stream, judge_open
 
 REG = Registry()
 
@@ -51,24 +51,30 @@ def js_sql(a, b, n):
     )
 
 
+_band = "CASE WHEN psi < 0.1 THEN 'STABLE' WHEN psi < 0.25 THEN 'MODERATE_DRIFT' ELSE 'SIGNIFICANT_DRIFT' END"
+
+
 def numeric_sql(a, b, cols):
-    """KS, PSI, JS and shifts per column; the p-value enters through its asymptotic thresholds."""
+    """KS, PSI, JS, shifts and severity per column; the p-value enters through the critical values of
+    the scaled KS statistic, 1.9495 for .001 and 1.3581 for .05."""
     out = []
     for n in cols:
         s = lambda f, t: f"(SELECT {f}({n}) FROM {src(t)})"
         med = lambda t: f"(SELECT quantile_cont(CAST({n} AS DOUBLE), 0.5) FROM {src(t)})"
-        shift = lambda x, y: r4(f"abs({y} - {x}) / (abs({x}) + 1e-9) * 100", 2)
+        pct = lambda x, y: f"(abs({y} - {x}) / (abs({x}) + 1e-9) * 100)"
+        shift = lambda x, y: r4(pct(x, y), 2)
+        outside = f"(SELECT count(*) FROM {src(b)} WHERE {n} < {s('min', a)} OR {n} > {s('max', a)})"
+        root = f"sqrt({s('count', a)} * 1.0 * {s('count', b)} / ({s('count', a)} + {s('count', b)}))"
         out.append(
-            f"SELECT '{n}' AS \"column\", {r4('ks')} AS ks_statistic, {r4(psi_sql(a, b, n))} AS psi, {r4(js_sql(a, b, n))} AS js_distance, {shift(s('avg', a), s('avg', b))} AS mean_shift_pct, "
+            f"(WITH m AS (SELECT *, ({root} + 0.12 + 0.11 / {root}) * ks AS scaled, {r4(psi_sql(a, b, n))} AS psi, {pct(s('avg', a), s('avg', b))} AS moved FROM ({ks_sql(a, b, n)})), "
+            f"l AS (SELECT *, CASE WHEN scaled > 1.9495 AND moved > 20 THEN 'SIGNIFICANT_DRIFT' WHEN scaled > 1.3581 AND psi < 0.1 THEN 'MODERATE_DRIFT' ELSE {_band} END AS drift_severity FROM m) "
+            f"SELECT '{n}' AS \"column\", drift_severity, drift_severity <> 'STABLE' AS drift_detected, {r4('ks')} AS ks_statistic, psi, {r4(js_sql(a, b, n))} AS js_distance, {r4('moved', 2)} AS mean_shift_pct, "
             f"{shift(s('stddev_pop', a), s('stddev_pop', b))} AS std_shift_pct, {shift(med(a), med(b))} AS median_shift_pct, "
-            f"(SELECT count(*) FROM {src(b)} WHERE {n} < {s('min', a)} OR {n} > {s('max', a)}) AS out_of_range, {r4(f'(SELECT count(*) FROM {src(b)} WHERE {n} < {s('min', a)} OR {n} > {s('max', a)}) * 100.0 / {s('count', b)}', 2)} AS out_of_range_pct FROM ({ks_sql(a, b, n)})"
+            f"{outside} AS out_of_range, {r4(f'{outside} * 100.0 / {s('count', b)}', 2)} AS out_of_range_pct FROM l)"
         )
     return " UNION ALL ".join(out)
 
 
-_band = "CASE WHEN psi < 0.1 THEN 'STABLE' WHEN psi < 0.25 THEN 'MODERATE_DRIFT' ELSE 'SIGNIFICANT_DRIFT' END"
-
-
 def chi_sql(a, b, n):
     return (
         f"(SELECT '{n}' AS \"column\", chi2, js, new_categories, vanished_categories FROM (WITH c AS (SELECT v, sum(s) AS na, sum(1 - s) AS nb FROM (SELECT {n} AS v, 1 AS s FROM {src(a)} WHERE {n} IS NOT NULL UNION ALL SELECT {n}, 0 FROM {src(b)} WHERE {n} IS NOT NULL) GROUP BY 1), "
@@ -84,7 +90,7 @@ for label, (a, b, cols, cats) in PAIRS.items():
     REG.add(f"js_distance_{label}", _two(D.js_distance, a, b), " UNION ALL ".join(f"SELECT '{n}' AS \"column\", {r4(js_sql(a, b, n))} AS js_distance" for n in cols))
     REG.add(f"ks_2samp_{label}", lambda spark, sf, a=a, b=b: D.ks_2samp(read(spark, sf, a), read(spark, sf, b)).drop("p_value"), " UNION ALL ".join(f"SELECT '{n}' AS \"column\", {r4('ks')} AS ks_statistic FROM ({ks_sql(a, b, n)})" for n in cols))
     REG.add(
-        f"drift_numeric_{label}", lambda spark, sf, a=a, b=b: D.drift_numeric(read(spark, sf, a), read(spark, sf, b)).drop("dtype", "p_value", "drift_severity", "drift_detected"),
+        f"drift_numeric_{label}", lambda spark, sf, a=a, b=b: D.drift_numeric(read(spark, sf, a), read(spark, sf, b)).drop("dtype", "p_value"),
         numeric_sql(a, b, cols),
     )
     REG.add(
@@ -171,7 +177,16 @@ def stream_verdicts(spark, sf):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     query = drift_stream(stream, base, "ts", ["event_type"], f"{root}/out", f"{root}/checkpoint")
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").drop("batch").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "column", F.round("psi", 4).alias("psi"), "severity")
+    judge_open(spark, base, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "column", F.round("psi", 4).alias("psi"), "severity")
 
 
-REG.add("drift_stream_events", stream_verdicts)
+REG.add(
+    "drift_stream_events", stream_verdicts,
+    "WITH b AS (SELECT event_type AS v, count(*) * 1.0 / sum(count(*)) OVER () AS then_share FROM events WHERE ts < timestamp '2024-01-15 00:00:00' AND event_type IS NOT NULL GROUP BY 1), "
+    "s AS (SELECT date_trunc('day', ts) AS w, event_type AS v, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY date_trunc('day', ts)) AS now_share FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2), "
+    "k AS (SELECT w, v FROM (SELECT DISTINCT w FROM s), (SELECT v FROM b) UNION SELECT w, v FROM s), "
+    "j AS (SELECT k.w, greatest(coalesce(then_share, 1e-4), 1e-4) AS e, greatest(coalesce(now_share, 1e-4), 1e-4) AS o FROM k LEFT JOIN b ON b.v = k.v LEFT JOIN s ON s.w = k.w AND s.v = k.v), "
+    "p AS (SELECT w, sum((o - e) * ln(o / e)) AS psi FROM j GROUP BY w) "
+    f"SELECT CAST(w AS TIMESTAMP) AS window_start, 'event_type' AS \"column\", {r4('psi')} AS psi, CASE WHEN psi > 0.2 THEN 'HIGH' WHEN psi > 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM p",
+)

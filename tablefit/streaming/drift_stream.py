@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablefit.functions.exprs import c
 from tablefit.operators.drift import Baseline
 
 FLOOR = 1e-4
+OPEN = -1  # folder of the windows that the last run left open
 
 
 def window_counts(stream: DataFrame, time_col: str, cols: list[str], window: str, delay: str) -> DataFrame:
@@ -16,12 +17,13 @@ def window_counts(stream: DataFrame, time_col: str, cols: list[str], window: str
     holds one number per (window, column, value), not rows."""
     entries = [F.when(c(n).isNotNull(), F.struct(F.lit(n).alias("column"), c(n).cast("string").alias("value"))) for n in cols]
     timed = stream.withColumn("__ts", c(time_col).cast("timestamp")).withWatermark("__ts", delay)
-    rows = timed.select("__ts", F.explode(F.array(*entries)).alias("e")).where("e is not null")
-    return rows.groupBy(F.window("__ts", window).alias("w"), F.col("e.column").alias("column"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # plain names for the keys, so that they can be told apart in the stored state
+    rows = timed.select("__ts", F.explode(F.array(*entries)).alias("e")).where("e is not null").select("__ts", "e.*")
+    return rows.groupBy(F.window("__ts", window).alias("w"), "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def verdicts(counts: DataFrame, base: Baseline) -> DataFrame:
-    """PSI of each finished (window, column) against the baseline shares, and its severity."""
+    """PSI of each (window, column) against the baseline shares, and its severity."""
     keys = ["w", "column"]
     total = counts.groupBy(*keys).agg(F.sum("n").alias("t"))
     now = counts.join(total, keys).select(*keys, "value", (F.col("n") / F.col("t")).alias("now"))
@@ -38,10 +40,23 @@ def verdicts(counts: DataFrame, base: Baseline) -> DataFrame:
 def drift_stream(stream: DataFrame, base: Baseline, time_col: str, cols: list[str], out: str, checkpoint: str, window: str = "1 day", delay: str = "1 day"):
     """Start the stream: windows are emitted once they are closed by the watermark, judged in
     foreachBatch and appended under ``out`` (one folder per batch id, so a replayed batch
-    overwrites itself)."""
+    overwrites itself). ``judge_open`` adds the windows that a bounded run leaves open."""
     counts = window_counts(stream, time_col, cols, window, delay)
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         verdicts(batch, base).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(judge).start()
+
+
+def judge_open(spark: SparkSession, base: Baseline, out: str, checkpoint: str) -> None:
+    """Judge the windows still open after a run has ended, from its stored state.
+
+    They replace those of the run before: a window closed since then is no longer in the state and
+    has its final verdict in the folder of its batch, so no window is ever there twice.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    keys = {n if n in ("column", "value") else "w": F.col("key").getField(n) for n in state.schema["key"].dataType.names}
+    count = F.col("value").getField(state.schema["value"].dataType.names[0])
+    counts = state.select(*[k.alias(n) for n, k in keys.items()], count.alias("n"))
+    verdicts(counts, base).write.mode("overwrite").parquet(f"{out}/batch={OPEN}")

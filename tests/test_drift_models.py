@@ -15,7 +15,7 @@ from tablefit.operators import anomaly as AN
 from tablefit.operators.anomaly import flag_anomalies
 from tablefit.operators.facts import Facts
 from tablefit.sources.tables import shared_folder
-from tablefit.streaming.drift_stream import drift_stream, verdicts
+from tablefit.streaming.drift_stream import drift_stream, judge_open, verdicts
 
 
 def test_published_tail_values():
@@ -83,10 +83,11 @@ def test_stream_equals_batch(spark):
     base = D.Baseline.of(events.where("kind <> 'c'").select("kind"))
     stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
     drift_stream(stream, base, "ts", ["kind"], f"{root}/out", f"{root}/cp").awaitTermination()
+    judge_open(spark, base, f"{root}/out", f"{root}/cp")
     got = {(r["window_start"], r["psi"], r["severity"]) for r in spark.read.parquet(f"{root}/out").collect()}
     counts = events.groupBy(F.window("ts", "1 day").alias("w"), F.lit("kind").alias("column"), F.col("kind").alias("value")).agg(F.count("*").alias("n"))
     want = {(r["window_start"], r["psi"], r["severity"]) for r in verdicts(counts, base).collect()}
-    assert got and got <= want and {s for _, _, s in got} == {"LOW", "HIGH"}
+    assert len(got) == 10 and got == want and {s for _, _, s in got} == {"LOW", "HIGH"}
 
 
 @pytest.fixture(scope="module")
