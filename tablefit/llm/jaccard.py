@@ -27,6 +27,7 @@ STEP = 16  # MinHash values compared at a time
 TOLERANCE = 1e-7
 BLOCK_DOCS, BLOCK_BYTES = 256, 8 << 20
 BIN_BYTES = 16 << 20
+HAS_WORD = r"[^\x20\x09-\x0D]"  # a byte that word_ranges takes for a part of a word
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -255,10 +256,11 @@ def _compare(n: int, threshold: float, tolerance: float):
 def similarity_classes(
     docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """doc_id, __a, __b (the text's name), class_id and n_links for every row of ``docs`` (doc_id, text).
+    """doc_id, __a, __b (the text's name), class_id, n_links and __root for every row of ``docs`` (doc_id, text).
 
     A link joins two rows whose shingle sets have a Jaccard similarity of at least ``threshold``;
-    classes are the connected components, named by their smallest doc_id (null ids only: null).
+    classes are the connected components, named by their smallest doc_id (null ids only: null). Classes
+    that share their smallest doc_id share that name; __root tells them apart (null: no words).
     n_links counts the other rows a row links to, copies included. A text of one to ``width`` - 1 words has
     one shingle of all its words. Null texts and texts without words have no shingles: they
     link to nothing and are classes of their own. Repeated rows are copies of each other.
@@ -309,13 +311,14 @@ def similarity_classes(
     named = nodes.select("node", "k1", "k2", "copies", "low").join(classes, "node", "left").join(counts, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     lows = named.groupBy("root").agg(F.min("low").alias("class_id"))
-    known = named.join(lows, "root").select("k1", "k2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = named.join(lows, "root").select("k1", "k2", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = sketched.drop("bands").join(known, ["k1", "k2"], "left")
     empty = F.col("size") == 0
     return out.select(
         "doc_id", "__a", "__b",
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(empty, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        F.when(~empty, F.col("root")).alias("__root"),
     )
 
 
@@ -326,15 +329,18 @@ def joined_documents(docs: DataFrame) -> DataFrame:
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` without near duplicates: of each class the row with the smallest id (ties: by
-    text, then one of equal rows) stays. All columns are kept; texts without words all stay."""
+    text, then one of equal rows) stays. All columns are kept; every row without words stays."""
     found = similarity_classes(docs)
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    best = best.groupBy("doc_id").agg(F.min(F.struct("__a", "__b")).alias("at"))
+    # the smallest id of a class is its name; the root keeps classes of one name apart
+    best = found.where(F.col("__root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    best = best.groupBy("__root", "doc_id").agg(F.min(F.struct("__a", "__b")).alias("at"))
     best = best.select(F.col("doc_id").alias("__id"), F.col("at.__a").alias("__a2"), F.col("at.__b").alias("__b2"))
-    a, b = text_key(text_of(docs))
-    marked = docs.withColumns({"__a": a, "__b": b})
+    text = text_of(docs)
+    a, b = text_key(text)
+    words = text.rlike(HAS_WORD)
+    marked = docs.where(words).withColumns({"__a": a, "__b": b})
     kept = marked.join(best, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__a") == F.col("__a2")) & (F.col("__b") == F.col("__b2")), "left_semi")
-    return _first_of_equal(kept, docs.columns)
+    return _first_of_equal(kept, docs.columns).unionByName(docs.where(~words))
 
 
 def _first_of_equal(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablefit.llm import fingerprints, jaccard, katz, language, mixing, pieces, repeats, sharding
@@ -124,6 +125,20 @@ def test_jaccard(docs, none, rows):
     assert jaccard.joined_documents(none).count() == jaccard.one_of_each_class(none).count() == 0
 
 
+def test_one_of_each_class_with_shared_ids(spark):
+    """Classes whose smallest ids are equal, or all null, each keep a row; so does every row without words."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    three, four = " ".join(f"c{i}" for i in range(40)), " ".join(f"d{i}" for i in range(40))
+    rows = [(None, one), (None, one), (None, two), (7, three), (9, three + " end"), (7, four), (8, four), (None, four)]
+    bare = [(None, None), (None, ""), (None, " \t"), (3, None), (3, ""), (3, ""), (3, "\n\x0b")]
+    df = spark.createDataFrame(rows + bare, "doc_id long, text string").repartition(3)
+    want = [(None, one), (None, two), (7, three), (7, four)] + bare
+    assert table(jaccard.one_of_each_class(df), "doc_id", "text") == sorted(want, key=repr)
+    wide = df.withColumn("n", F.length("text"))
+    assert table(jaccard.one_of_each_class(wide), "doc_id", "text") == sorted(want, key=repr)
+    assert jaccard.joined_documents(df).columns == ["doc_id", "class_id", "n_links"]
+
+
 def test_large_group_is_cut_into_blocks(spark, monkeypatch):
     import random
 
