@@ -15,16 +15,22 @@ from tablefit.llm import jaccard, language, mixing, pieces, repeats
 from tablefit.session import ship
 from tablefit.sources.tables import shared_folder
 
-#: a text closer to no profile than this is in none of the languages
+#: a text closer to no profile than this is in none of the languages, however few labelled rows there are
 LEAST_SCORE = 0.05
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rank-order profiles learnt from the rows with a language; rows without letters, or too far from
-    every profile, go. ``lang`` becomes the predicted language. Null and empty texts go."""
+    """Rank-order profiles learnt from the rows with a language; rows without letters, or further from
+    every profile than labelled rows of about as many n-grams are, go. ``lang`` becomes the predicted
+    language. Null and empty texts go."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = language.predict(rows, language.train(docs), keep=["row"])
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    profiles = language.train(docs)
+    found = language.predict(rows, profiles, keep=["row"], sizes=True)
+    # one row for each language: its least scores by octave; an octave without one takes that below it
+    least = language.least_scores(docs, profiles).groupBy(F.col("lang_pred").alias("__lang")).agg(F.sort_array(F.collect_list(F.struct("octave", "least"))).alias("__least"))
+    found = found.join(F.broadcast(least), F.col("lang_pred") == F.col("__lang"), "left")
+    own = F.try_element_at(F.filter("__least", lambda x: x["octave"] <= F.col("octave")), F.lit(-1))["least"]
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= F.greatest(F.lit(LEAST_SCORE), own)))
     return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -19,6 +19,10 @@ from tablefit.llm.flat import slices
 
 RANKS = 300
 LETTERS = 127  # rarer letters share one symbol
+LOW, STEPS = 0.01, 1000  # the quantile of clean scores that a least score is set by, in steps of 1/STEPS
+PREFIXES = [2**k for k in range(3, 12)]  # characters; their scores say what short texts reach
+MARGIN = 2  # how many times the gap from the median to that quantile lies below it
+ENOUGH = 100  # scores that a quantile needs
 _IS_LETTER: list[np.ndarray] = []
 
 
@@ -159,7 +163,7 @@ def _top(ids: np.ndarray, room: int, ranks: int) -> np.ndarray:
     return grams[np.argsort(-n, kind="stable")[:ranks]]
 
 
-def _predict(profiles: Profiles):
+def _predict(profiles: Profiles, sizes: bool = False):
     names, ranks = list(profiles.ranked), profiles.ranks
 
     def run(batches):
@@ -168,14 +172,17 @@ def _predict(profiles: Profiles):
         for j, name in enumerate(names):
             place[profiles.ranked[name], j] = np.arange(len(profiles.ranked[name]))
         for batch in batches:
-            out, scores = [], []
+            out, scores, octaves = [], [], []
             for _, data, offsets in slices(batch.column(batch.schema.get_field_index("__text"))):
                 for ids in grams.rows(data, offsets):
                     if len(ids) == 0 or not names:
                         out.append("und")
                         scores.append(0.0)
+                        octaves.append(0)
                         continue
                     own = _top(ids, grams.room, ranks)
+                    if sizes:
+                        octaves.append((len(own) if len(own) < ranks else len(np.unique(ids))).bit_length() - 1)
                     p = place[own]
                     far = np.abs(p - np.arange(len(own))[:, None])
                     far[p < 0] = ranks
@@ -184,15 +191,17 @@ def _predict(profiles: Profiles):
                     out.append(names[j])
                     scores.append(1.0 - float(d[j]) / (ranks * len(own)))
             rest = batch.drop_columns(["__text"])
-            yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(out, pa.string()), pa.array(scores, pa.float64())], names=[*rest.schema.names, "lang_pred", "score"]
-            )
+            cols, names_ = [pa.array(out, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
+            if sizes:
+                cols, names_ = [*cols, pa.array(octaves, pa.int32())], [*names_, "octave"]
+            yield pa.RecordBatch.from_arrays([*rest.columns, *cols], names=[*rest.schema.names, *names_])
 
     return run
 
 
-def predict(df: DataFrame, profiles: Profiles, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score (1 minus the distance over the largest possible one) to the ``keep`` columns.
+def predict(df: DataFrame, profiles: Profiles, text: str = "text", keep: list[str] | None = None, sizes: bool = False) -> DataFrame:
+    """Add lang_pred and score (1 minus the distance over the largest possible one) to the ``keep`` columns;
+    with ``sizes`` also octave, the whole base-2 logarithm of the number of different n-grams.
 
     A null text or one without letters is 'und' with score 0; so is everything without profiles.
     Every row is predicted from its text alone; repeated rows get equal results.
@@ -200,7 +209,28 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text", keep: list[st
     keep = df.columns if keep is None else keep
     slim = df.select(*[F.col(f"`{c}`") for c in keep], text_of(df, text).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1])
-    return slim.mapInArrow(_predict(profiles), kept + (", " if kept else "") + "lang_pred string, score double")
+    made = "lang_pred string, score double" + (", octave int" if sizes else "")
+    return slim.mapInArrow(_predict(profiles, sizes), kept + (", " if kept else "") + made)
+
+
+def least_scores(df: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang_pred, octave, least): the score below which a text of that language and octave is an outlier.
+
+    All rows with a language are scored, whole and by their prefixes, so that every length below the
+    longest is known. Of the scores of rows predicted as labelled, the least score lies MARGIN
+    times as far below the LOW quantile as that lies below the median; a longer text need not score more than those an octave below.
+    An octave with less than ENOUGH scores has no row; the nearest one below it holds. Counts are exact, so a run gives the same least scores each time.
+    """
+    whole = text_of(df, text)
+    cuts = F.array(whole, *[F.when(F.length(whole) > n, F.substring(whole, 1, n)) for n in PREFIXES])
+    rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.explode(cuts).alias("text")).where("text is not null")
+    scored = predict(rows, profiles, keep=["lang"], sizes=True).where("lang = lang_pred")
+    cells = scored.groupBy("lang_pred", "octave", F.floor(F.col("score") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    each = W.partitionBy("lang_pred", "octave")  # at most STEPS + 1 rows
+    upto = cells.withColumns({"upto": F.sum("n").over(each.orderBy("step")), "all": F.sum("n").over(each)}).where(F.col("all") >= ENOUGH)
+    at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("step"))) / STEPS
+    fences = upto.groupBy("lang_pred", "octave").agg((at(LOW) - MARGIN * (at(0.5) - at(LOW))).alias("least"))
+    return fences.withColumn("least", F.min("least").over(W.partitionBy("lang_pred").orderBy("octave").rowsBetween(-1, 0)))
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:

@@ -279,6 +279,32 @@ def test_language_ranks(spark):
     assert out == {0: "en", 1: "fr", 2: "fr", 3: "en"}
 
 
+def test_language_stage_rejects_other_latin_texts(spark):
+    """Random letters, base64 and languages without labels go; clean texts of any length stay."""
+    import base64
+    import random
+
+    rng = random.Random(11)
+    words = {
+        "en": "the of and to in that is was he for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made".split(),
+        "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei".split(),
+    }
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    clean = [(lang, say(lang, rng.choice([3, 6, 12, 40, 150, 400]))) for lang in words for _ in range(150)]
+    clean += [(None, say(lang, n)) for lang in words for n in (4, 20, 100, 600)]
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (150, 600, 3000)]
+    coded = [base64.b64encode(rng.randbytes(n)).decode() for n in (120, 500, 2000)]
+    other = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    ]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(clean)] + [(-1 - i, t, None) for i, t in enumerate(letters + coded + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = corpus_pipeline.identify_language(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(len(clean)))
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_katz_sums_to_one(spark, order):
     import random
