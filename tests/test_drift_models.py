@@ -142,6 +142,20 @@ def test_baseline_of_any_size_raises_no_alarm(spark, n):
     assert high == 0
 
 
+def test_equal_large_tables_stay_low(spark):
+    """12 million rows a side: the grid alone is 0.0008 away from them, beyond the critical value."""
+    rows = spark.range(12_000_000).select((F.col("id") % 5000).cast("double").alias("x"))
+    path = f"{shared_folder(spark)}/b-{uuid.uuid4().hex}"
+    D.Baseline.of(rows).save(path)
+    base = D.Baseline.load(spark, path)
+    assert base.counts.count() == 5000 and base.counts.agg(F.sum("n")).first()[0] == 12_000_000
+    same = D.drift_vs_baseline(base, rows).first()
+    assert (same["p_value"], same["severity"], same["overall"]) == (1.0, "LOW", "LOW")
+    assert same["value"] * (12_000_000 / 2) ** 0.5 > 1.63
+    moved = D.drift_vs_baseline(base, rows.select((F.col("x") + 10).alias("x"))).first()
+    assert moved["severity"] == "HIGH"
+
+
 def test_attribution_adds_up(planted):
     data = planted.where("id > 4")
     values = TR.attribution(data, "y", ["id"], permutations=3, trees=8)
