@@ -116,6 +116,8 @@ REG.add("attribution_documents", lambda spark, sf: TR.attribution_summary(TR.att
 # ---- anomalies and clusters --------------------------------------------------------------------
 _prices = "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM {lineitem}"
 REG.add("anomalies_lineitem", lambda spark, sf: A.anomalies(read(spark, sf, _prices), ["l_orderkey", "l_linenumber"]).select("rows"), "SELECT count(*) AS rows FROM lineitem")
+# all columns; a forest has no SQL, tests compare the flagged share with the contamination
+REG.add("anomalies_lineitem_whole", lambda spark, sf: A.anomalies(read(spark, sf, _prices), ["l_orderkey", "l_linenumber"]))
 REG.add("anomalies_documents", lambda spark, sf: A.anomalies(read(spark, sf, _docs), ["doc_id"], "quality", rules="auto"))
 _flagged = "SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_quantity > 48 AS odd FROM {lineitem}"
 REG.add(

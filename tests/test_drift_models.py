@@ -105,6 +105,20 @@ def test_anomaly_share_and_hits(planted):
     assert len(flagged) == 30 and set(range(5)) <= flagged
 
 
+def test_anomalies_query_returns_the_flagged_share(spark):
+    from queryset.modelling import REG
+
+    sf = "/root/testdata/sf0.01"
+    t = REG.queries["anomalies_lineitem_whole"](spark, sf)
+    assert t.columns == ["anomaly_count", "rows", "anomaly_percent", "severity"]
+    r, n = t.first(), spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    share = AN.contamination(n, "fixed")
+    # rows above the exact quantile: at most the share, less only by the rows that tie with it
+    assert r["rows"] == n and 0.9 * share * n <= r["anomaly_count"] <= share * n + 1
+    assert r["anomaly_percent"] == pytest.approx(r["anomaly_count"] * 100 / n, abs=0.006)
+    assert r["severity"] == ("LOW" if r["anomaly_percent"] < 3 else "MODERATE" if r["anomaly_percent"] < 8 else "HIGH")
+
+
 def test_anomalies_keep_rows_of_repeated_keys(planted):
     t = planted.drop("y").withColumn("id", F.col("id") % 7)
     flagged = flag_anomalies(t, ["id"], trees=10)
