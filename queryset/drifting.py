@@ -169,13 +169,13 @@ REG.add(
 )
 
 
-def stream_verdicts(spark, sf):
+def stream_verdicts(spark, sf, cols=("event_type",)):
     """The events table as a stream of files; daily windows judged against its first half."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    base = D.Baseline.of(read(spark, sf, "SELECT event_type FROM {events} WHERE ts < timestamp '2024-01-15 00:00:00'"))
+    base = D.Baseline.of(read(spark, sf, f"SELECT {', '.join(cols)} FROM {{events}} WHERE ts < timestamp '2024-01-15 00:00:00'"))
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    query = drift_stream(stream, base, "ts", ["event_type"], f"{root}/out", f"{root}/checkpoint")
+    query = drift_stream(stream, base, "ts", list(cols), f"{root}/out", f"{root}/checkpoint")
     query.awaitTermination()
     judge_open(spark, base, f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "column", F.round("psi", 4).alias("psi"), "severity")
@@ -190,3 +190,32 @@ REG.add(
     "p AS (SELECT w, sum((o - e) * ln(o / e)) AS psi FROM j GROUP BY w) "
     f"SELECT CAST(w AS TIMESTAMP) AS window_start, 'event_type' AS \"column\", {r4('psi')} AS psi, CASE WHEN psi > 0.2 THEN 'HIGH' WHEN psi > 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM p",
 )
+
+_first = "FROM events WHERE ts < timestamp '2024-01-15 00:00:00'"
+_tenths = ", ".join(str(k / 10) for k in range(11))
+
+
+def _binned(n):
+    """(w, old, value) of a numeric column: bins between the first half's distinct deciles, 0 below, one more above."""
+    return (
+        f"SELECT date_trunc('day', ts) AS w, ts < timestamp '2024-01-15 00:00:00' AS old, '{n}' AS \"column\", CAST(CASE WHEN v < e[1] THEN 0 WHEN v > e[len(e)] THEN len(e) + 1 "
+        f"ELSE greatest(least(len(list_filter(e, lambda x: x <= v)), len(e) - 1), 1) END AS VARCHAR) AS value FROM (SELECT ts, CAST({n} AS DOUBLE) AS v FROM events WHERE {n} IS NOT NULL), "
+        f"(SELECT list_sort(list_distinct(quantile_cont(CAST({n} AS DOUBLE), [{_tenths}]))) AS e {_first})"
+    )
+
+
+def _named(n):
+    return f"SELECT date_trunc('day', ts) AS w, ts < timestamp '2024-01-15 00:00:00' AS old, '{n}' AS \"column\", CAST({n} AS VARCHAR) AS value FROM events WHERE {n} IS NOT NULL"
+
+
+REG.add(
+    "drift_stream_events_columns", lambda spark, sf: stream_verdicts(spark, sf, ("event_id", "user_id", "event_type", "value", "props")),
+    "WITH x AS (" + " UNION ALL ".join([_binned(n) for n in ("event_id", "user_id", "value")] + [_named(n) for n in ("event_type", "props")]) + "), "
+    "b AS (SELECT \"column\", value, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY \"column\") AS then_share FROM x WHERE old GROUP BY 1, 2), "
+    "s AS (SELECT w, \"column\", value, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY w, \"column\") AS now_share FROM x GROUP BY 1, 2, 3), "
+    "k AS (SELECT d.w, d.\"column\", b.value FROM (SELECT DISTINCT w, \"column\" FROM s) d JOIN b ON b.\"column\" = d.\"column\" UNION SELECT w, \"column\", value FROM s), "
+    "j AS (SELECT k.w, k.\"column\", greatest(coalesce(then_share, 1e-4), 1e-4) AS e, greatest(coalesce(now_share, 1e-4), 1e-4) AS o FROM k LEFT JOIN b ON b.\"column\" = k.\"column\" AND b.value = k.value "
+    "LEFT JOIN s ON s.w = k.w AND s.\"column\" = k.\"column\" AND s.value = k.value), "
+    "p AS (SELECT w, \"column\", sum((o - e) * ln(o / e)) AS psi FROM j GROUP BY 1, 2) "
+    f"SELECT CAST(w AS TIMESTAMP) AS window_start, \"column\", {r4('psi')} AS psi, CASE WHEN psi > 0.2 THEN 'HIGH' WHEN psi > 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM p",
+)

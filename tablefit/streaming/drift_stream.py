@@ -4,18 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tablefit.functions.exprs import c
 from tablefit.operators.drift import Baseline
 
 FLOOR = 1e-4
+BINS = 10  # quantile bins of a numeric column
 OPEN = -1  # folder of the windows that the last run left open
 
 
-def window_counts(stream: DataFrame, time_col: str, cols: list[str], window: str, delay: str) -> DataFrame:
-    """Counts of every category per window, with late data cut off by the watermark. The state
-    holds one number per (window, column, value), not rows."""
-    entries = [F.when(c(n).isNotNull(), F.struct(F.lit(n).alias("column"), c(n).cast("string").alias("value"))) for n in cols]
+def bin_edges(base: Baseline) -> dict[str, list[float]]:
+    """Distinct exact quantiles of each numeric column of the baseline, at most BINS + 1."""
+    points = F.round(F.col("p") * BINS, 6)
+    out: dict[str, list[float]] = {}
+    for r in base.grid.where(points == F.floor(points)).select("column", "v").distinct().orderBy("column", "v").collect():
+        out.setdefault(r["column"], []).append(r["v"])
+    return out
+
+
+def _bin(v, edges: list[float]):
+    """Name of the bin of a number: bins are closed on the left, the last one also on the right; 0 lies
+    below all of them and one more than the number of edges above."""
+    k, e = len(edges), F.array(*[F.lit(float(x)) for x in edges])
+    inside = F.greatest(F.least(F.size(F.filter(e, lambda x: x <= v)), F.lit(k - 1)), F.lit(1))
+    return F.when(v < edges[0], F.lit(0)).when(v > edges[-1], F.lit(k + 1)).otherwise(inside).cast("string")
+
+
+def expected_shares(base: Baseline) -> DataFrame:
+    """(column, value, then): the baseline's share of every category and of every bin."""
+    out = base.categories.select("column", "value", F.col("share").alias("then"))
+    edges = bin_edges(base)
+    if not edges:
+        return out
+    spots = F.coalesce(*[F.when(F.col("column") == n, _bin(F.col("v"), e)) for n, e in edges.items()])
+    bins = base.counts.groupBy("column", spots.alias("value")).agg(F.sum("n").alias("n"))
+    total = bins.groupBy("column").agg(F.sum("n").alias("t"))
+    return out.unionByName(bins.join(F.broadcast(total), "column").select("column", "value", (F.col("n") / F.col("t")).alias("then")))
+
+
+def window_counts(stream: DataFrame, time_col: str, cols: list[str], window: str, delay: str, edges: dict[str, list[float]] | None = None) -> DataFrame:
+    """Counts of every category, or bin of a numeric column with ``edges``, per window, with late data
+    cut off by the watermark. The state holds one number per (window, column, value), not rows."""
+    values = {}
+    for n in cols:
+        if n not in (edges or {}):
+            values[n] = c(n).cast("string")
+        elif isinstance(stream.schema[n].dataType, NumericType):
+            v = c(n).cast("double")
+            values[n] = F.when(~F.isnan(v), _bin(v, edges[n]))
+        else:
+            raise ValueError(f"column {n} is numeric in the baseline only")
+    entries = [F.when(v.isNotNull(), F.struct(F.lit(n).alias("column"), v.alias("value"))) for n, v in values.items()]
     timed = stream.withColumn("__ts", c(time_col).cast("timestamp")).withWatermark("__ts", delay)
     # plain names for the keys, so that they can be told apart in the stored state
     rows = timed.select("__ts", F.explode(F.array(*entries)).alias("e")).where("e is not null").select("__ts", "e.*")
@@ -23,12 +63,12 @@ def window_counts(stream: DataFrame, time_col: str, cols: list[str], window: str
 
 
 def verdicts(counts: DataFrame, base: Baseline) -> DataFrame:
-    """PSI of each (window, column) against the baseline shares, and its severity."""
+    """PSI of each (window, column) against the baseline's shares of categories or bins, and its severity."""
     keys = ["w", "column"]
     total = counts.groupBy(*keys).agg(F.sum("n").alias("t"))
     now = counts.join(total, keys).select(*keys, "value", (F.col("n") / F.col("t")).alias("now"))
-    # every baseline category must show up in every window, also with count 0
-    wanted = total.select(*keys).join(base.categories.withColumnRenamed("share", "then"), "column")
+    # every baseline category and bin must show up in every window, also with count 0
+    wanted = total.select(*keys).join(expected_shares(base), "column")
     e, o = F.greatest(F.coalesce("then", F.lit(FLOOR)), F.lit(FLOOR)), F.greatest(F.coalesce("now", F.lit(FLOOR)), F.lit(FLOOR))
     score = now.join(wanted, [*keys, "value"], "full_outer").groupBy(*keys).agg(F.sum((o - e) * F.log(o / e)).alias("psi"))
     return score.select(
@@ -41,7 +81,7 @@ def drift_stream(stream: DataFrame, base: Baseline, time_col: str, cols: list[st
     """Start the stream: windows are emitted once they are closed by the watermark, judged in
     foreachBatch and appended under ``out`` (one folder per batch id, so a replayed batch
     overwrites itself). ``judge_open`` adds the windows that a bounded run leaves open."""
-    counts = window_counts(stream, time_col, cols, window, delay)
+    counts = window_counts(stream, time_col, cols, window, delay, bin_edges(base))
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         verdicts(batch, base).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -90,6 +90,24 @@ def test_stream_equals_batch(spark):
     assert len(got) == 10 and got == want and {s for _, _, s in got} == {"LOW", "HIGH"}
 
 
+def test_stream_judges_numeric_columns(spark):
+    """A column that moves in half of the windows, one constant and one with a NaN, judged by the baseline's bins."""
+    root = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    day = (F.col("id") % 6).cast("int")
+    events = spark.range(6000).select(
+        (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=day)).alias("ts"),
+        (F.floor(F.col("id") / 6) + F.when(day < 3, 0).otherwise(500)).cast("double").alias("x"), F.when(day < 5, 7).otherwise(8).alias("flat"),
+        F.when(F.col("id") == 0, float("nan")).otherwise(F.floor(F.col("id") / 6) % 9).cast("double").alias("same"),
+    )
+    base = D.Baseline.of(events.where("ts < '2024-01-04'").select("x", "flat", "same"))
+    events.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+    drift_stream(stream, base, "ts", ["x", "flat", "same"], f"{root}/out", f"{root}/cp").awaitTermination()
+    judge_open(spark, base, f"{root}/out", f"{root}/cp")
+    got = {(r["window_start"].day, r["column"]): r["severity"] for r in spark.read.parquet(f"{root}/out").collect()}
+    assert got == {(d, n): "HIGH" if (n == "x" and d > 3) or (n == "flat" and d > 5) else "LOW" for d in range(1, 7) for n in ("x", "flat", "same")}
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     rng = np.random.default_rng(5)
