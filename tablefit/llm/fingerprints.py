@@ -27,10 +27,11 @@ LEAST, MOST = 2, 24  # words of a leaf
 SECTION = 4  # one paragraph in SECTION closes a section
 BUCKET_BYTES, MOST_RANGES = 4 << 20, 2000
 ROWS = 500
+NAME = 5  # bytes of a printed name; parents are hashed from whole digests
 
 
-def _name(data: bytes, size: int = 5) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _leaf_ends(data: np.ndarray, offsets: np.ndarray):
@@ -85,26 +86,27 @@ def trees(data: np.ndarray, offsets: np.ndarray):
         at, leaves, weights = int(offsets[i]), [], Counter()
         sections, paragraphs, line = [], [], []
         for end, n, close in zip(ends, words, closes):
-            name = _name(raw[at:end])
+            whole = _digest(raw[at:end])
+            name = whole[:NAME].hex()
             weights[name] += max(1, n)
             leaves.append(f"{name}.{n}")
-            line.append(name)
+            line.append(whole)
             at = end
             if close:
-                own = _name("".join(line).encode())
+                own = _digest(b"".join(line))
                 paragraphs.append((own, ",".join(leaves)))
                 leaves, line = [], []
-                if int(own, 16) % SECTION == 0:
+                if own[0] % SECTION == 0:
                     sections.append(paragraphs)
                     paragraphs = []
         if paragraphs:
             sections.append(paragraphs)
         out, heads = [], []
         for section in sections:
-            head = _name("".join(p for p, _ in section).encode())
+            head = _digest(b"".join(p for p, _ in section))
             heads.append(head)
-            out.append(head + ":" + "/".join(f"{p}={ls}" for p, ls in section))
-        yield _name("".join(heads).encode(), 16) + ";" + "|".join(out), weights
+            out.append(head[:NAME].hex() + ":" + "/".join(f"{p[:NAME].hex()}={ls}" for p, ls in section))
+        yield _digest(b"".join(heads)).hex() + ";" + "|".join(out), weights
 
 
 def likeness(a: Counter, b: Counter) -> float:

@@ -226,6 +226,18 @@ def test_fingerprints(docs, none, rows):
     assert one["near_next"] == 1.0
 
 
+def test_roots_come_from_whole_digests(monkeypatch):
+    """Names of one byte clash among 2,000 texts of one section; their roots do not."""
+    import numpy as np
+
+    monkeypatch.setattr(fingerprints, "NAME", 1)
+    texts = [f"text number {i} of many".encode() for i in range(2000)]
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    got = [fp for fp, _ in fingerprints.trees(np.frombuffer(b"".join(texts), np.uint8), offsets)]
+    parsed = [fingerprints.parse(fp) for fp in got]
+    assert len({sections[0][0] for _, sections in parsed}) <= 256 and len({root for root, _ in parsed}) == 2000
+
+
 def test_locate_edits(spark):
     ws = [f"word{i}" for i in range(300)]
     new = ws[:150] + ["changed"] + ws[151:]
