@@ -92,26 +92,26 @@ REG.add("choice_impact", lambda spark, sf: SC.choice_impact(read(spark, sf, _run
 
 # ---- models ------------------------------------------------------------------------------------
 _docs = "documents_labels"
-REG.add("train_compare_documents", lambda spark, sf: TR.train_compare(read(spark, sf, _docs), "quality", ["doc_id"], trees=10, folds=2, detailed=True).drop("training_seconds"))
-REG.add("train_compare_part", lambda spark, sf: TR.train_compare(read(spark, sf, "part"), "p_retailprice", ["p_partkey"], trees=10, folds=2).drop("training_seconds"))
-REG.add("overfit_documents", lambda spark, sf: TR.overfit(read(spark, sf, _docs), "quality", ["doc_id"], trees=10))
-REG.add("learning_curve_documents", lambda spark, sf: TR.learning_curve(read(spark, sf, _docs), "quality", ["doc_id"], trees=10))
-REG.add("importance_documents", lambda spark, sf: TR.importance(read(spark, sf, _docs), "quality", ["doc_id"], trees=10))
-REG.add("consensus_select_documents", lambda spark, sf: TR.consensus_select(read(spark, sf, _docs), "quality", ["doc_id"], trees=10))
+REG.add("train_compare_documents", lambda spark, sf: TR.train_compare(read(spark, sf, _docs), "quality", ["doc_id"], detailed=True).drop("training_seconds"))
+REG.add("train_compare_part", lambda spark, sf: TR.train_compare(read(spark, sf, "part"), "p_retailprice", ["p_partkey"]).drop("training_seconds"))
+REG.add("overfit_documents", lambda spark, sf: TR.overfit(read(spark, sf, _docs), "quality", ["doc_id"]))
+REG.add("learning_curve_documents", lambda spark, sf: TR.learning_curve(read(spark, sf, _docs), "quality", ["doc_id"]))
+REG.add("importance_documents", lambda spark, sf: TR.importance(read(spark, sf, _docs), "quality", ["doc_id"]))
+REG.add("consensus_select_documents", lambda spark, sf: TR.consensus_select(read(spark, sf, _docs), "quality", ["doc_id"]))
 REG.add(
     "select_k_best_lineitem", lambda spark, sf: TR.select_k_best(read(spark, sf, "SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber, l_suppkey, l_returnflag FROM {lineitem}"), "l_returnflag"),
     "WITH f AS (" + " UNION ALL ".join(
         f"SELECT '{n}' AS feature, (sum(c * (m - g) * (m - g)) / (count(*) - 1)) / (sum(c * v) / (sum(c) - count(*))) AS f FROM (SELECT l_returnflag, count({n}) AS c, avg({n}) AS m, var_pop({n}) AS v FROM lineitem GROUP BY 1), (SELECT avg({n}) AS g FROM lineitem)"
         for n in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey")) + f") SELECT feature, {r4('f')} AS f_statistic FROM f ORDER BY f DESC LIMIT 3",
 )
-REG.add("search_documents", lambda spark, sf: TR.search(read(spark, sf, _docs), "quality", ["doc_id"], trees=5, folds=2))
-REG.add("ensembles_documents", lambda spark, sf: TR.ensembles(read(spark, sf, _docs), "quality", ["doc_id"], trees=5))
-REG.add("ensembles_part", lambda spark, sf: TR.ensembles(read(spark, sf, "part"), "p_retailprice", ["p_partkey"], trees=5))
-REG.add("fix_impact_orders", lambda spark, sf: TR.fix_impact(read(spark, sf, "orders_dirty"), "o_orderstatus", ["o_orderkey"], trees=5))
-REG.add("apply_fixes_documents", lambda spark, sf: TR.apply_fixes(read(spark, sf, _docs), "quality", ["doc_id"], outliers=True, correlated=True, balance=True, trees=5))
-REG.add("clean_gain_part", lambda spark, sf: TR.clean_gain(read(spark, sf, "part"), "p_type", ["p_partkey"], trees=5))
-REG.add("mlp_documents", lambda spark, sf: TR.mlp(read(spark, sf, _docs), "quality", ["doc_id"], hidden=(16, 8), iterations=30, trees=5))
-REG.add("attribution_documents", lambda spark, sf: TR.attribution_summary(TR.attribution(read(spark, sf, _docs), "quality", ["doc_id"], permutations=4, trees=5)))
+REG.add("search_documents", lambda spark, sf: TR.search(read(spark, sf, _docs), "quality", ["doc_id"]))
+REG.add("ensembles_documents", lambda spark, sf: TR.ensembles(read(spark, sf, _docs), "quality", ["doc_id"]))
+REG.add("ensembles_part", lambda spark, sf: TR.ensembles(read(spark, sf, "part"), "p_retailprice", ["p_partkey"]))
+REG.add("fix_impact_orders", lambda spark, sf: TR.fix_impact(read(spark, sf, "orders_dirty"), "o_orderstatus", ["o_orderkey"]))
+REG.add("apply_fixes_documents", lambda spark, sf: TR.apply_fixes(read(spark, sf, _docs), "quality", ["doc_id"], outliers=True, correlated=True, balance=True))
+REG.add("clean_gain_part", lambda spark, sf: TR.clean_gain(read(spark, sf, "part"), "p_type", ["p_partkey"]))
+REG.add("mlp_documents", lambda spark, sf: TR.mlp(read(spark, sf, _docs), "quality", ["doc_id"]))
+REG.add("attribution_documents", lambda spark, sf: TR.attribution_summary(TR.attribution(read(spark, sf, _docs), "quality", ["doc_id"])))
 
 # ---- anomalies and clusters --------------------------------------------------------------------
 _prices = "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM {lineitem}"

@@ -188,6 +188,26 @@ def test_equal_large_tables_stay_low(spark):
     assert moved["severity"] == "HIGH"
 
 
+def test_model_queries_run_the_whole_operator(monkeypatch):
+    """No registered model query hands its operator fewer trees, folds, rounds or units than the default."""
+    from queryset import modelling
+
+    seen = {}
+    for name in ("train_compare", "overfit", "learning_curve", "importance", "consensus_select", "search", "ensembles", "fix_impact", "apply_fixes", "clean_gain", "mlp", "attribution"):
+        class Result:
+            drop = lambda self, *_: self
+        monkeypatch.setattr(TR, name, lambda *a, _n=name, **k: seen.setdefault(_n, []).append(k) or Result())
+    monkeypatch.setattr(TR, "attribution_summary", lambda t: t)
+    monkeypatch.setattr(modelling, "read", lambda *_: None)
+    for query in (
+        "train_compare_documents", "train_compare_part", "overfit_documents", "learning_curve_documents", "importance_documents", "consensus_select_documents", "search_documents",
+        "ensembles_documents", "ensembles_part", "fix_impact_orders", "apply_fixes_documents", "clean_gain_part", "mlp_documents", "attribution_documents",
+    ):
+        modelling.REG.queries[query](None, "")
+    smaller = {"trees", "folds", "hidden", "iterations", "permutations"}
+    assert len(seen) == 12 and not [(n, k) for n, calls in seen.items() for k in calls if smaller & set(k)]
+
+
 def test_attribution_adds_up(planted):
     data = planted.where("id > 4")
     values = TR.attribution(data, "y", ["id"], permutations=3, trees=8)
