@@ -1,11 +1,11 @@
-"""The eleven queries of this subpackage: each operator over its whole table, and the pipeline."""
+"""The queries of this subpackage: each operator over its whole table, and the pipeline."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tablefit.llm import fingerprints, jaccard, katz, language, mixing, pieces, repeats, rules, sharding, topk
+from tablefit.llm import divergence, fingerprints, interactions, jaccard, katz, language, licenses, mixing, pieces, repeats, rules, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +52,29 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited_sources(_table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audited_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk, op2_quality, op3_sharding, op4_fingerprints, op5_repeats, op6_language, op7_katz, op8_mixing, op9_pieces, op10_jaccard, pipeline)
+    for f in (
+        op1_topk, op2_quality, op3_sharding, op4_fingerprints, op5_repeats, op6_language, op7_katz, op8_mixing, op9_pieces, op10_jaccard,
+        op11_divergence, op12_licenses, op13_interactions, pipeline,
+    )
+}
+ORACLES = {
+    "op1_topk": topk.TOP_K_SQL, "op8_mixing": mixing.mixed_sql(), "op11_divergence": divergence.DIVERGENCE_SQL, "op13_interactions": interactions.AUDIT_SQL,
 }
-ORACLES = {"op1_topk": topk.TOP_K_SQL, "op8_mixing": mixing.mixed_sql()}
