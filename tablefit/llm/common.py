@@ -35,6 +35,11 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(7), text, F.length(text))
 
 
+def fields(kept, made: str) -> T.StructType:
+    """Schema of the columns ``kept`` (of any name and type) and those of the DDL text ``made``."""
+    return T.StructType([*kept, *T.StructType.fromDDL(made).fields])
+
+
 def spread(df: DataFrame) -> int:
     """Partitions that the session uses for a shuffle."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -83,4 +88,4 @@ def numbered(df: DataFrame, group: list[str], cell: list[str], order: list[Colum
     return local.join(starts, keys).withColumn(name, F.col("__i") + F.col("__start")).drop("__i", "__start")
 
 
-__all__ = ["WORD", "need", "numbered", "range_buckets", "remainder", "settle", "spread", "text_key", "text_of"]
+__all__ = ["WORD", "fields", "need", "numbered", "range_buckets", "remainder", "settle", "spread", "text_key", "text_of"]

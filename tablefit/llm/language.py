@@ -4,6 +4,9 @@ Letters are lower-cased; every run of letters is a word between two marks. The n
 symbols) of a word may include a mark at either end. A profile lists the most frequent n-grams of
 a language by rank. The distance of a document is the sum, over its own most frequent n-grams, of
 how far each is out of place in the profile; an n-gram that the profile lacks counts as its length.
+An n-gram is numbered by its code points, so every letter of every script counts as itself. Ties in a
+rank, of a profile or of a document, go to the shorter n-gram, then to the smaller code points; ties in
+the distance to the smaller name of the language.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tablefit.llm.common import need, remainder, text_of
+from tablefit.llm.common import fields, need, remainder, text_of
 from tablefit.llm.flat import slices
 
 RANKS = 300
-LETTERS = 127  # rarer letters share one symbol
+POINTS = 0x110000  # code points
+HELD = 1_000_000  # different n-grams that a task merges before it hands them on
 LOW, STEPS = 0.01, 1000  # the quantile of clean scores that a least score is set by, in steps of 1/STEPS
 PREFIXES = [2**k for k in range(3, 12)]  # characters; their scores say what short texts reach
 MARGIN = 2  # how many times the gap from the median to that quantile lies below it
@@ -47,97 +51,85 @@ def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32), rows.astype(np.int64)
 
 
-def _letter_counts(batches):
-    total = np.zeros(0x110000, np.int64)
-    for batch in batches:
-        for _, data, offsets in slices(batch.column(0)):
-            points, _ = _points(data, offsets)
-            points = points[_letter_table()[points]]
-            total += np.bincount(points, minlength=0x110000)
-    at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(total[at])], ["letter", "n"])
-
-
-class Grams:
-    """n-gram numbers of text slices over a fixed alphabet: 0 is the mark, 1 any letter outside it."""
-
-    def __init__(self, letters: list[int]):
-        self.base = len(letters) + 2
-        self.symbol = np.where(_letter_table(), 1, 0).astype(np.int32)
-        self.symbol[np.array(letters, np.int64)] = np.arange(2, len(letters) + 2)
-        self.room = self.base + self.base**2 + self.base**3
-
-    def rows(self, data: np.ndarray, offsets: np.ndarray):
-        """The n-gram numbers of each row in turn."""
-        points, at = _points(data, offsets)
-        codes = self.symbol[points]
-        for a, b in zip(at[:-1], at[1:]):
-            yield self.of(codes[a:b])
-
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        s = np.zeros(len(codes) + 2, np.int32)
-        s[1:-1] = codes
-        keep = s > 0
-        keep[1:] |= s[:-1] > 0  # one mark after each word
-        keep[0] = True
-        s = s[keep]
-        if len(s) < 3:
-            return np.zeros(0, np.int32)
-        if s[1] == 0:
-            s = s[1:]
-        b = self.base
-        one = s[s > 0]
-        two = b + s[:-1] * b + s[1:]
-        inside = s[1:-1] > 0
-        three = b + b * b + (s[:-2] * b + s[1:-1]) * b + s[2:]
-        return np.concatenate((one, two, three[inside]))
-
-
-def _gram_counts(letters: list[int]):
-    def run(batches):
-        grams = Grams(letters)
-        held: dict[str, np.ndarray] = {}
-
-        def flush():
-            for lang, total in held.items():
-                at = np.flatnonzero(total)
-                yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(total[at])], ["lang", "gram", "n"])
-            held.clear()
-
-        for batch in batches:
-            langs = batch.column(1).to_pylist()
-            for first, data, offsets in slices(batch.column(0)):
-                for i, ids in enumerate(grams.rows(data, offsets)):
-                    lang = langs[first + i]
-                    if lang not in held:
-                        if len(held) * grams.room > 20_000_000:
-                            yield from flush()
-                        held[lang] = np.zeros(grams.room, np.int64)
-                    if len(ids) > grams.room // 8:
-                        held[lang] += np.bincount(ids, minlength=grams.room)
-                    else:
-                        np.add.at(held[lang], ids, 1)
-        yield from flush()
+def grams_of(points: np.ndarray) -> np.ndarray:
+    """Numbers of all n-grams of one text of code points: letters as they are, 0 for the mark between words."""
+    s = np.zeros(len(points) + 2, np.int64)
+    s[1:-1] = np.where(_letter_table()[points], points, 0)
+    keep = s > 0
+    keep[1:] |= s[:-1] > 0  # one mark after each word
+    keep[0] = True
+    s = s[keep]
+    if len(s) < 3:
+        return np.zeros(0, np.int64)
+    if s[1] == 0:
+        s = s[1:]
+    one = s[s > 0]
+    two = POINTS + s[:-1] * POINTS + s[1:]
+    three = POINTS + POINTS**2 + (s[:-2] * POINTS + s[1:-1]) * POINTS + s[2:]
+    return np.concatenate((one, two, three[s[1:-1] > 0]))
+
+
+def _rows(data: np.ndarray, offsets: np.ndarray):
+    """The n-gram numbers of each row of a slice in turn."""
+    points, at = _points(data, offsets)
+    for a, b in zip(at[:-1], at[1:]):
+        yield grams_of(points[a:b])
+
+
+class _Tally:
+    """Counts of n-grams of one language: numbers met since the last merge, and the merged counts."""
+
+    def __init__(self):
+        self.pending, self.waiting = [], 0
+        self.grams, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        self.pending.append(ids)
+        self.waiting += len(ids)
+        if self.waiting > HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.pending:
+            ids, n = np.unique(np.concatenate(self.pending), return_counts=True)
+            self.grams, back = np.unique(np.concatenate((self.grams, ids)), return_inverse=True)
+            self.n = np.bincount(back, np.concatenate((self.n, n)), len(self.grams)).astype(np.int64)
+            self.pending, self.waiting = [], 0
+
+
+def _gram_counts(batches):
+    held: dict[str, _Tally] = {}
+
+    def flush():
+        for lang, tally in held.items():
+            tally.merge()
+            yield pa.record_batch([pa.array([lang] * len(tally.n), pa.string()), pa.array(tally.grams), pa.array(tally.n)], ["lang", "gram", "n"])
+        held.clear()
 
-    return run
+    for batch in batches:
+        langs = batch.column(1).to_pylist()
+        for first, data, offsets in slices(batch.column(0)):
+            for i, ids in enumerate(_rows(data, offsets)):
+                held.setdefault(langs[first + i], _Tally()).add(ids)
+            if sum(t.waiting + len(t.n) for t in held.values()) > 4 * HELD:
+                yield from flush()
+    yield from flush()
 
 
 class Profiles:
-    """Letters and, for each language, its n-grams in order of rank. Size: languages times RANKS."""
+    """For each language its n-grams in order of rank. Size: languages times ``ranks``."""
 
-    def __init__(self, letters: list[int], ranked: dict[str, list[int]], ranks: int):
-        self.letters, self.ranked, self.ranks = letters, ranked, ranks
+    def __init__(self, ranked: dict[str, list[int]], ranks: int):
+        self.ranked, self.ranks = ranked, ranks
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", ranks: int = RANKS, letters: int = LETTERS) -> Profiles:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", ranks: int = RANKS) -> Profiles:
     """Profiles from all rows with a language; counts are summed in Spark over every row.
 
-    What reaches the driver is bounded: ``letters`` code points and ``ranks`` n-grams a language.
+    What reaches the driver is bounded: ``ranks`` n-grams a language.
     """
     rows = df.select(text_of(df, text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null")
-    seen = rows.select("text").mapInArrow(_letter_counts, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    top = [r["letter"] for r in seen.orderBy(F.col("n").desc(), "letter").limit(letters).collect()]
-    counts = rows.mapInArrow(_gram_counts(top), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = W.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     best = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= ranks)
     ranked: dict[str, list[int]] = {}
@@ -145,45 +137,45 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", ranks: int = RA
         ranked.setdefault(r["lang"], []).append(r["gram"])
     for r in rows.select("lang").distinct().collect():  # a language whose texts have no letter
         ranked.setdefault(r["lang"], [])
-    return Profiles(top, dict(sorted(ranked.items())), ranks)
-
-
-def _top(ids: np.ndarray, room: int, ranks: int) -> np.ndarray:
-    """The most frequent n-grams of a document, by count, then by number."""
-    if len(ids) > room // 16:
-        n = np.bincount(ids, minlength=room)
-        grams = np.flatnonzero(n)
-        n = n[grams]
-    else:
-        grams, n = np.unique(ids, return_counts=True)
-    if len(grams) > ranks:
-        least = np.partition(n, len(n) - ranks)[len(n) - ranks]
+    return Profiles(dict(sorted(ranked.items())), ranks)
+
+
+def _top(ids: np.ndarray, ranks: int) -> tuple[np.ndarray, int]:
+    """The most frequent n-grams of a document, by count, then by number, and how many different there are."""
+    grams, n = np.unique(ids, return_counts=True)
+    different = len(grams)
+    if different > ranks:
+        least = np.partition(n, different - ranks)[different - ranks]
         keep = n >= least
         grams, n = grams[keep], n[keep]
-    return grams[np.argsort(-n, kind="stable")[:ranks]]
+    return grams[np.argsort(-n, kind="stable")[:ranks]], different
 
 
 def _predict(profiles: Profiles, sizes: bool = False):
     names, ranks = list(profiles.ranked), profiles.ranks
 
     def run(batches):
-        grams = Grams(profiles.letters)
-        place = np.full((grams.room, max(1, len(names))), -1, np.int32)
+        # one row of places for each n-gram of any profile, and a last one for all others
+        known = np.unique(np.array([g for grams in profiles.ranked.values() for g in grams], np.int64))
+        padded = np.append(known, -1)
+        place = np.full((len(known) + 1, max(1, len(names))), -1, np.int32)
         for j, name in enumerate(names):
-            place[profiles.ranked[name], j] = np.arange(len(profiles.ranked[name]))
+            place[np.searchsorted(known, profiles.ranked[name]), j] = np.arange(len(profiles.ranked[name]))
         for batch in batches:
             out, scores, octaves = [], [], []
             for _, data, offsets in slices(batch.column(batch.schema.get_field_index("__text"))):
-                for ids in grams.rows(data, offsets):
+                for ids in _rows(data, offsets):
                     if len(ids) == 0 or not names:
                         out.append("und")
                         scores.append(0.0)
                         octaves.append(0)
                         continue
-                    own = _top(ids, grams.room, ranks)
+                    own, different = _top(ids, ranks)
                     if sizes:
-                        octaves.append((len(own) if len(own) < ranks else len(np.unique(ids))).bit_length() - 1)
-                    p = place[own]
+                        octaves.append(different.bit_length() - 1)
+                    at = np.searchsorted(known, own)
+                    at[padded[at] != own] = len(known)
+                    p = place[at]
                     far = np.abs(p - np.arange(len(own))[:, None])
                     far[p < 0] = ranks
                     d = far.sum(axis=0)
@@ -208,9 +200,10 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text", keep: list[st
     """
     keep = df.columns if keep is None else keep
     slim = df.select(*[F.col(f"`{c}`") for c in keep], text_of(df, text).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1])
+    if "__text" in keep:
+        raise ValueError("the column name __text is taken")
     made = "lang_pred string, score double" + (", octave int" if sizes else "")
-    return slim.mapInArrow(_predict(profiles, sizes), kept + (", " if kept else "") + made)
+    return slim.mapInArrow(_predict(profiles, sizes), fields(slim.schema.fields[:-1], made))
 
 
 def least_scores(df: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> DataFrame:
