@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tablefit.llm.common import need, range_buckets, text_of
+from tablefit.llm.common import fields, need, range_buckets, text_of
 from tablefit.llm.flat import RangeHash, slices, word_ranges
 
 CUT = 6  # one word in CUT closes a leaf
@@ -198,8 +198,7 @@ def _fingerprints(columns: list[str]):
 def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of a text column; a null text counts as empty, which has a root of its own."""
     slim = df.select(*[F.col(f"`{c}`") for c in df.columns], text_of(df, text).alias("__text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema[:-1])
-    return slim.mapInArrow(_fingerprints(["__text"]), kept + "__text_fp string").withColumnRenamed("__text_fp", name)
+    return slim.mapInArrow(_fingerprints(["__text"]), fields(slim.schema.fields[:-1], "__text_fp string")).withColumnRenamed("__text_fp", name)
 
 
 def with_next(df: DataFrame, order: list[str], text: str) -> DataFrame:

@@ -344,9 +344,11 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
 
 
 def _first_of_equal(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One of the rows with equal id and text: the first by the other columns."""
+    """One of the rows with equal id and text: the first by a hash of the other columns."""
     rest = [c for c in columns if c not in ("doc_id", "text")]
     if not rest:
-        return df.dropDuplicates(["doc_id", "__a", "__b"]).select(*columns)
-    low = df.groupBy("doc_id", "__a", "__b").agg(F.first("text").alias("text"), F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("r"))
+        return df.dropDuplicates(["doc_id", "__a", "__b"]).select(*[F.col(f"`{c}`") for c in columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    # by the row's JSON, because maps and the like have no order of their own
+    low = df.groupBy("doc_id", "__a", "__b").agg(F.first("text").alias("text"), F.min_by(row, F.md5(F.to_json(row))).alias("r"))
     return low.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"r.`{c}`").alias(c) for c in columns])

@@ -16,9 +16,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablefit.llm.common import need, text_of
+from tablefit.llm.common import fields, need, text_of
 
 # fixed values: phrases and labels that every scan looks for
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -238,9 +237,8 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, phras
     """
     keep = df.columns if keep is None else keep
     slim = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(df, text).cast("binary").alias("text"))
-    kind = T.StructType([slim.schema["row"], *T.StructType.fromDDL(_OUT).fields])
-    found = slim.mapInArrow(_scan(NOTICE_PHRASES if phrases is None else phrases), kind)
-    return found.select(*[F.col(f"row.`{c}`") for c in keep], *_KINDS.names)
+    found = slim.mapInArrow(_scan(NOTICE_PHRASES if phrases is None else phrases), fields([slim.schema["row"]], _OUT))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *_KINDS.names)
 
 
 def scanned_documents(docs: DataFrame) -> DataFrame:

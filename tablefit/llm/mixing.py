@@ -126,7 +126,7 @@ def emit_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     once = joined.where("__rows = 1").withColumn("__times", F.col("__sum").cast("int"))
     many = joined.where("__rows > 1").dropDuplicates(["__id", "__a", "__b", "__s"]).withColumn("__times", F.col("__sum").cast("int"))
     out = once.unionByName(many).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL for ``mixed_documents`` over a relation of documents (default weights)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablefit.llm.common import need, settle, text_key, text_of
+from tablefit.llm.common import fields, need, settle, text_key, text_of
 from tablefit.llm.flat import RangeHash, mix, pair, slices
 
 LENGTH = 400
@@ -327,9 +327,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, local: int = LOCAL) -
     """
     need(docs, "doc_id", "text")
     keep = [c for c in docs.columns if c != "text"]
-    wide = _joined(docs.withColumn("__null", F.col("text").isNull()), [*keep, "__null"], length, local)
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wide.schema if f.name not in ("__text", "__spans"))
-    out = wide.mapInArrow(_finish(False), kept + "__kept string")
+    # other columns travel as one struct, whatever their names
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), "text", F.col("text").isNull().alias("__null"))
+    wide = _joined(slim, ["__row", "__null"], length, local)
+    out = wide.mapInArrow(_finish(False), fields([f for f in wide.schema if f.name not in ("__text", "__spans")], "__kept string"))
     text = F.when(~F.col("__null"), F.col("__kept"))
     cols = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
