@@ -111,7 +111,10 @@ REG.add("fix_impact_orders", lambda spark, sf: TR.fix_impact(read(spark, sf, "or
 REG.add("apply_fixes_documents", lambda spark, sf: TR.apply_fixes(read(spark, sf, _docs), "quality", ["doc_id"], outliers=True, correlated=True, balance=True))
 REG.add("clean_gain_part", lambda spark, sf: TR.clean_gain(read(spark, sf, "part"), "p_type", ["p_partkey"]))
 REG.add("mlp_documents", lambda spark, sf: TR.mlp(read(spark, sf, _docs), "quality", ["doc_id"]))
-REG.add("attribution_documents", lambda spark, sf: TR.attribution_summary(TR.attribution(read(spark, sf, _docs), "quality", ["doc_id"])))
+REG.add("attribution_documents", lambda spark, sf: TR.attribution(read(spark, sf, _docs), "quality", ["doc_id"]).summary())
+REG.add("attribution_top_documents", lambda spark, sf: TR.attribution(read(spark, sf, _docs), "quality", ["doc_id"]).top())
+REG.add("attribution_top_part", lambda spark, sf: TR.attribution(read(spark, sf, "part"), "p_retailprice", ["p_partkey"]).top())
+REG.add("attribution_interactions_documents", lambda spark, sf: TR.attribution(read(spark, sf, _docs), "quality", ["doc_id"]).interactions())
 
 # ---- anomalies and clusters --------------------------------------------------------------------
 _prices = "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM {lineitem}"

@@ -16,11 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablefit.functions.exprs import c, hash_key, rounded
-from tablefit.functions.ranks import hash_row_number
 from tablefit.operators import clean as C
 from tablefit.operators import scoring as SC
 from tablefit.operators.encode import encode_label
-from tablefit.operators.facts import Facts, small_table
+from tablefit.operators.facts import Facts, pair_correlations, small_table
+from tablefit.operators.forest import FlatForest, explain_rows, permuted_scores
 from tablefit.operators.target import task_of
 from tablefit.plans.modes import to_ml, training_frame
 from tablefit.plans.rules import drop_rules
@@ -149,26 +149,24 @@ def overfit(df, target: str, key: list[str], trees: int = 60) -> DataFrame:
 
 
 def importance(df, target: str, key: list[str], repeats: int = 5, trees: int = 60, rules: str = "absolute") -> DataFrame:
-    """Forest importance next to permutation importance.
+    """Forest importance next to permutation importance on the held-out fold.
 
-    A permuted value comes from the row a fixed step further along a hash order (one equi-join on
-    unique positions per table, not per feature); all features and repeats are scored together."""
+    Rows are dealt once into random blocks by the hash of their key; the forest scores all shuffled
+    columns of a block inside one task, and only (feature, repeat) sums leave it."""
     frame = Frame(df, target, key, folds=5)
     model = catalogue(frame, trees)["Random Forest"].fit(frame.vectors.where("fold <> 0"))
-    test = hash_row_number(frame.data.where("fold = 0"), [], frame.key, "rn")
-    n = test.count()
-    donors = test.select((F.col("rn") - 1).alias("pos"), *[F.col(x).alias(f"d_{x}") for x in frame.cols])
-    step = (F.col("rep") + 1) * max(1, n // (repeats + 1))
-    mixed = test.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("pos", (F.col("rn") - 1 + step) % n)
-    mixed = mixed.join(donors, "pos").withColumn("f", F.explode(F.sequence(F.lit(-1), F.lit(len(frame.cols) - 1))))
-    swapped = mixed.select("label", "rep", "f", *[F.when(F.col("f") == i, F.col(f"d_{x}")).otherwise(F.col(x)).alias(x) for i, x in enumerate(frame.cols)])
-    pred = model.transform(VectorAssembler(inputCols=frame.cols, outputCol="features", handleInvalid="keep").transform(swapped))
-    e = F.col("label") - F.col("prediction")
-    score = F.avg((F.col("label") == F.col("prediction")).cast("double")) if frame.is_clf else 1 - F.avg(e * e) / F.nullif(F.var_pop("label"), F.lit(0.0))
-    got = {r["f"]: r["s"] for r in pred.groupBy("f", "rep").agg(score.alias("s")).groupBy("f").agg(F.avg("s").alias("s")).collect()}
-    base, impurity = got[-1], model.featureImportances.toArray()
-    rows = [(name, float(impurity[i]), float(base - got[i])) for i, name in enumerate(frame.features)]
-    return SC.importance_tiers(small_table(pred.sparkSession, rows, [("feature", "string"), ("importance", "double"), ("permutation", "double")]), rules)
+    test = frame.data.where("fold = 0").withColumn("__order", hash_key(frame.key))
+    seen = test.agg(F.count(F.lit(1)).alias("n"), F.var_pop("label").alias("var")).first()
+    sums = permuted_scores(test, FlatForest.of(model, len(frame.cols)), frame.cols, "label", "__order", repeats, seen["n"])
+    score = F.col("hit") / F.col("n") if frame.is_clf else 1 - F.col("sse") / F.col("n") / F.nullif(F.lit(seen["var"]).cast("double"), F.lit(0.0))
+    per = sums.select("feature", score.alias("s")).groupBy("feature").agg(F.avg("s").alias("s"), F.stddev_pop("s").alias("sd"))
+    got = {r["feature"]: (r["s"], r["sd"]) for r in per.collect()}
+    base, impurity = got[-1][0], model.featureImportances.toArray()
+    drop = lambda s: None if base is None or s is None else float(base - s)
+    rows = [(name, float(impurity[i]), drop(got[i][0]), got[i][1]) for i, name in enumerate(frame.features)]
+    table = small_table(frame.data.sparkSession, rows, [("feature", "string"), ("importance", "double"), ("permutation", "double"), ("sd", "double")])
+    spread = table.select("feature", rounded(F.col("sd")).alias("permutation_std"))
+    return SC.importance_tiers(table, rules).join(F.broadcast(spread), "feature")  # one row per feature
 
 
 def consensus_select(df, target: str, key: list[str], trees: int = 50) -> DataFrame:
@@ -386,33 +384,53 @@ def mlp(df, target: str, key: list[str], hidden: tuple = (128, 64, 32), iteratio
     return t.withColumn("f1_weighted", rounded(F.col("f1_weighted")))
 
 
-def attribution(df, target: str, key: list[str], permutations: int = 10, background: int = 64, trees: int = 40) -> DataFrame:
-    """Monte-Carlo Shapley values of a forest, one row per (row, feature).
-
-    Each row meets ``permutations`` background rows; along a random feature order its values
-    replace the background's one by one and the change of the prediction goes to the feature
-    just replaced. ``background`` rows (a fixed number, picked by hash) are broadcast."""
+class Attribution:
+    """Shapley values of a fitted forest: ``rows`` holds rid, output, base, values and inputs (arrays in
+    the order of ``features``), one row per row of the table."""
+
+    def __init__(self, rows: DataFrame, features: list[str]):
+        self.rows, self.features = rows, features
+
+    def summary(self) -> DataFrame:
+        """Mean size and direction of the values per feature; one scan, one sum per feature."""
+        v = lambda i: F.col("values")[i]
+        entries = [F.struct(F.lit(n).alias("feature"), F.avg(F.abs(v(i))).alias("a"), F.avg(v(i)).alias("m")) for i, n in enumerate(self.features)]
+        per = self.rows.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+        return per.select(
+            "feature", rounded(F.col("a"), 6).alias("mean_abs"), rounded(F.col("m"), 6).alias("mean"), F.when(F.col("m") > 0, "POSITIVE").otherwise("NEGATIVE").alias("direction"))
+
+    def top(self, k: int = 5) -> DataFrame:
+        """The k features with the largest values of every row, largest first (ties: earlier column), with
+        the row's number and whether it raises the prediction."""
+        names = F.array(*[F.lit(n) for n in self.features])
+        entry = lambda x, i: F.struct(
+            (-F.abs(x)).alias("o"), i.alias("i"), names[i].alias("feature"), rounded(x, 4).alias("value"), rounded(F.col("inputs")[i], 4).alias("feature_value"), (x > 0).alias("increases"))
+        best = F.slice(F.array_sort(F.transform("values", entry)), 1, k)
+        shown = F.transform(best, lambda e: F.struct(e["feature"].alias("feature"), e["value"].alias("value"), e["feature_value"].alias("feature_value"), e["increases"].alias("increases")))
+        return self.rows.select("rid", rounded(F.col("output"), 4).alias("output"), rounded(F.col("base"), 4).alias("base_value"), shown.alias("top_features"))
+
+    def interactions(self, k: int = 5) -> DataFrame:
+        """The k pairs of features whose values go together most: the size of their correlation, from sums
+        of cross products that each task makes of its own rows."""
+        wide = self.rows.select(*[F.col("values")[i].alias(f"v{i}") for i in range(len(self.features))])
+        cols = wide.columns
+        if len(cols) < 2:
+            pairs = []
+        else:
+            means = wide.agg(*[F.avg(n).alias(n) for n in cols]).first()
+            got = pair_correlations(wide, [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]], {n: means[n] or 0.0 for n in cols})
+            named = [(self.features[int(a[1:])], self.features[int(b[1:])], abs(r)) for (a, b), r in got.items() if r is not None]
+            pairs = sorted(named, key=lambda p: (-p[2], p[0], p[1]))[:k]
+        t = small_table(wide.sparkSession, pairs, [("feature_1", "string"), ("feature_2", "string"), ("r", "double")])
+        return t.select("feature_1", "feature_2", rounded(F.col("r")).alias("interaction_strength"))
+
+
+def attribution(df, target: str, key: list[str], trees: int = 40) -> Attribution:
+    """Exact Shapley values of a forest for every row of the table.
+
+    Features are replaced by what the trees' own training rows took of each branch. Rows are explained
+    where they lie: a task evaluates the flat forest on its batches and writes one array per row."""
     frame = Frame(df, target, key, folds=5)
     model = catalogue(frame, trees)["Random Forest"].fit(frame.vectors)
-    cols, d = frame.cols, len(frame.cols)
-    rid = F.concat_ws("-", *[F.col(k) for k in frame.key])
-    pool = frame.data.select(hash_key(frame.key, "background").alias("h"), *cols).orderBy("h").limit(background).collect()
-    donors = small_table(frame.data.sparkSession, [(i, *[float(r[x]) for x in cols]) for i, r in enumerate(pool)], [("bg", "int"), *[(f"b_{x}", "double") for x in cols]])
-    pick = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("-", "rid", "j", F.lit(salt))), 1, 8), 16, 10).cast("bigint")
-    runs = frame.data.select(rid.alias("rid"), *cols, F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("j"))
-    runs = runs.withColumn("bg", (pick("bg") % len(pool)).cast("int")).join(F.broadcast(donors), "bg")
-    order = F.transform(F.array_sort(F.array(*[F.struct(F.md5(F.concat_ws("-", "rid", "j", F.lit(str(i)))).alias("h"), F.lit(i).alias("f")) for i in range(d)])), lambda s: s["f"])
-    runs = runs.withColumn("order", order).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(d))))
-    mixed = runs.select("rid", "j", "t", "order", *[F.when(F.array_position("order", i) <= F.col("t"), F.col(x)).otherwise(F.col(f"b_{x}")).alias(x) for i, x in enumerate(cols)])
-    pred = model.transform(VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(mixed))
-    out = vector_to_array("probability")[min(1, frame.classes - 1)] if frame.is_clf else F.col("prediction")
-    step = W.partitionBy("rid", "j").orderBy("t")  # one row per feature and one more
-    diffs = pred.select("rid", "j", "t", "order", out.alias("p")).withColumn("diff", F.col("p") - F.lag("p").over(step)).where("t > 0")
-    names = F.array(*[F.lit(n) for n in frame.features])
-    return diffs.select("rid", names[F.element_at("order", F.col("t"))].alias("feature"), "diff").groupBy("rid", "feature").agg(F.avg("diff").alias("value"))
-
-
-def attribution_summary(values: DataFrame) -> DataFrame:
-    """Mean size and direction of the attribution per feature."""
-    return values.groupBy("feature").agg(F.avg(F.abs("value")).alias("a"), F.avg("value").alias("m")).select(
-        "feature", rounded(F.col("a"), 6).alias("mean_abs"), rounded(F.col("m"), 6).alias("mean"), F.when(F.col("m") > 0, "POSITIVE").otherwise("NEGATIVE").alias("direction"))
+    named = frame.data.select(F.concat_ws("-", *[F.col(k) for k in frame.key]).alias("rid"), *frame.cols)
+    return Attribution(settle(explain_rows(named, FlatForest.of(model, len(frame.cols)), frame.cols, "rid")), frame.features)

@@ -195,9 +195,8 @@ def test_model_queries_run_the_whole_operator(monkeypatch):
     seen = {}
     for name in ("train_compare", "overfit", "learning_curve", "importance", "consensus_select", "search", "ensembles", "fix_impact", "apply_fixes", "clean_gain", "mlp", "attribution"):
         class Result:
-            drop = lambda self, *_: self
+            drop = summary = lambda self, *_: self
         monkeypatch.setattr(TR, name, lambda *a, _n=name, **k: seen.setdefault(_n, []).append(k) or Result())
-    monkeypatch.setattr(TR, "attribution_summary", lambda t: t)
     monkeypatch.setattr(modelling, "read", lambda *_: None)
     for query in (
         "train_compare_documents", "train_compare_part", "overfit_documents", "learning_curve_documents", "importance_documents", "consensus_select_documents", "search_documents",
@@ -208,16 +207,6 @@ def test_model_queries_run_the_whole_operator(monkeypatch):
     assert len(seen) == 12 and not [(n, k) for n, calls in seen.items() for k in calls if smaller & set(k)]
 
 
-def test_attribution_adds_up(planted):
-    data = planted.where("id > 4")
-    values = TR.attribution(data, "y", ["id"], permutations=3, trees=8)
-    top = TR.attribution_summary(values).orderBy(F.col("mean_abs").desc()).first()
-    assert top["feature"] == "a"
-    per_row = values.groupBy("rid").agg(F.sum("value").alias("s"), F.count("*").alias("n")).toPandas()
-    y = data.select(F.col("id").cast("string").alias("rid"), "y").toPandas().merge(per_row, on="rid")
-    assert (y["n"] == 3).all() and y["s"].corr(y["y"]) > 0.8
-
-
 def test_folds_and_split_partition_the_table(spark):
     df = spark.range(1000).withColumn("y", F.col("id") % 3)
     f = SC.folds(df, ["id"], 5, "y").groupBy("y", "fold").count().toPandas()
