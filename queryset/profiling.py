@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from queryset.base import Registry, columns_of, corr_sql, facts_sql, numeric_of, over_facts, quote, r4, read, src, t4
+from tablefit.functions.exprs import NORMAL_BELOW, NORMAL_TOP
 from tablefit.operators import profile as P
 
 REG = Registry()
@@ -135,7 +136,37 @@ REG.add(
     "low_variance_lineitem", _q(P.low_variance, "lineitem"),
     over_facts("lineitem", f"\"column\", {r4('var')} AS variance, {r4('\"distinct\" * 1.0 / present')} AS unique_ratio, var < 0.01 OR \"distinct\" * 1.0 / present < 0.01 AS near_zero_variance", "kind = 'numeric'"),
 )
-REG.add("normality_lineitem", _q(P.normality, "lineitem_numbers"))
+
+
+def normality_sql(name):
+    """Largest gap between the counted values and the normal distribution, column by column."""
+    def poly(coefs):
+        out = repr(coefs[0])
+        for k in coefs[1:]:
+            out = f"({out} * x + {k!r})"
+        return out
+
+    tail = f"CASE WHEN x > 37 THEN 0 WHEN x < 7.07106781186547 THEN exp(-x * x / 2) * {poly(NORMAL_TOP)} / {poly(NORMAL_BELOW)} ELSE exp(-x * x / 2) / (x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + 0.65))))) / 2.506628274631 END"
+    tail_of_t = (
+        "CASE WHEN t < 1.18 THEN 1 - sqrt(2 * pi()) / t * (exp(-pi() * pi() / (8 * t * t)) + exp(-9 * pi() * pi() / (8 * t * t)) + exp(-25 * pi() * pi() / (8 * t * t)) + exp(-49 * pi() * pi() / (8 * t * t))) "
+        "ELSE (SELECT greatest(0, least(1, 2 * sum(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * j * j * t * t)))) FROM range(1, 101) r(j)) END"
+    )
+    one = lambda n: (
+        f"SELECT '{n}' AS \"column\", d, any_n, jb FROM (WITH v AS (SELECT CAST({quote(n)} AS DOUBLE) AS v FROM {src(name)} WHERE {quote(n)} IS NOT NULL), "
+        "m AS (SELECT count(*) AS n, avg(v) AS mu, stddev_samp(v) AS sd, count(*) / 6.0 * (skewness(v) ** 2 + kurtosis(v) ** 2 / 4) AS jb FROM v), "
+        "k AS (SELECT v, count(*) AS c, sum(count(*)) OVER (ORDER BY v) AS upto FROM v GROUP BY v), "
+        f"z AS (SELECT k.*, n, abs((v - mu) / (sd + 1e-9)) AS x, v > mu AS above FROM k, m), p AS (SELECT *, CASE WHEN above THEN 1 - {tail} ELSE {tail} END AS p FROM z) "
+        "SELECT max(greatest(upto * 1.0 / n - p, p - (upto - c) * 1.0 / n)) AS d, any_value(n) AS any_n, (SELECT jb FROM m) AS jb FROM p)"
+    )
+    rows = " UNION ALL ".join(one(n) for n in numeric_of(name))
+    return (
+        f"SELECT \"column\", {r4('d')} AS ks_statistic, {r4('p')} AS p_value, p > 0.05 AS is_normal, {r4('jb', 2)} AS jarque_bera FROM (SELECT *, {tail_of_t} AS p FROM (SELECT *, (sqrt(any_n) + 0.12 + 0.11 / sqrt(any_n)) * d AS t FROM ({rows})))"
+    )
+
+
+REG.add("normality_lineitem", _q(P.normality, "lineitem_numbers"), normality_sql("lineitem_numbers"))
+REG.add("normality_lineitem_all", _q(P.normality, "lineitem"), normality_sql("lineitem"))
+REG.add("normality_supplier", _q(P.normality, "supplier"), normality_sql("supplier"))
 
 _types = (
     "CASE WHEN kind = 'datetime' THEN 'datetime' WHEN \"distinct\" * 1.0 / rows > 0.9 AND (regexp_matches(lower(\"column\"), '(^|_)?id$') OR \"column\" IN ({mono})) THEN 'id' "

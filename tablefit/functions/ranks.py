@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,6 +174,74 @@ def _bracket_values(df, cols, keys, brackets, ranks, counts):
     return {keys[r["j"]]: (r["x_lo"], r["x_hi"]) for r in rows}
 
 
+def union_quantiles(rows: DataFrame, unions: np.ndarray, probs: list[float], cuts: int = 63, accuracy: int = SKETCH_ACCURACY) -> dict[tuple[int, int, float], float]:
+    """Exact quantiles (linear interpolation) of many unions of blocks at once, by (union, column, prob).
+
+    ``rows`` holds b (block), i (column) and v (number, not null); ``unions`` is a 0/1 matrix of unions and
+    blocks. A grid of counts by (column, value range, block) says in which range each wanted rank of each
+    union lies; only ranges that hold a rank are cut again, until they hold one value. Cuts come from
+    sketches and only steer the work: a value that is a cut has a range of its own, so hot values end the
+    search at once. What reaches the driver is (ranges x blocks) counts, never rows.
+    """
+    from tablefit.operators.facts import small_table
+
+    spark, blocks = rows.sparkSession, unions.shape[1]
+    near = sorted({min(1.0, max(0.0, p + d / 2000)) for p in probs for d in (-200, -40, -20, -10, -4, -2, -1, 0, 1, 2, 4, 10, 20, 40, 200)})
+    even = [k / (cuts + 1) for k in range(1, cuts + 1)]
+    found: dict[tuple, float] = {}
+    # wanted ranks by interval: (column, lo, hi) -> [(union, rank, rows of the union below the interval)]
+    first = rows.groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", near, accuracy).alias("cuts")).collect()
+    pending = {(r["i"], r["lo"], r["hi"]): None for r in first}
+    at_cuts = {(r["i"], r["lo"], r["hi"]): sorted(set(r["cuts"])) for r in first}
+    ranks: dict[tuple[int, int], dict[float, tuple[int, int, float]]] = {}
+    while pending:
+        keys = sorted(pending)
+        table = small_table(spark, [(k, *key, at_cuts[key]) for k, key in enumerate(keys)], [("k", "int"), ("ci", "int"), ("lo", "double"), ("hi", "double"), ("cuts", "array<double>")])
+        # one row per interval that still holds a wanted rank
+        held = rows.join(F.broadcast(table), (F.col("i") == F.col("ci")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        spot = F.size(F.filter("cuts", lambda e: e < F.col("v"))) + F.size(F.filter("cuts", lambda e: e <= F.col("v")))
+        grid = held.groupBy("k", spot.alias("s"), "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).toPandas()
+        again: dict[tuple, list] = {}
+        for k, part in grid.groupby("k"):
+            key = keys[k]
+            spots, at = np.unique(part["s"].to_numpy(), return_inverse=True)
+            counts = np.zeros((len(spots), blocks), np.int64)
+            np.add.at(counts, (at, part["b"].to_numpy()), part["n"].to_numpy())
+            lo = part.groupby("s")["lo"].min().to_numpy()
+            hi = part.groupby("s")["hi"].max().to_numpy()
+            upto = np.cumsum(counts @ unions.T.astype(np.int64), axis=0)  # (ranges, unions)
+            wanted = pending[key]
+            if wanted is None:
+                wanted = []
+                for u in range(len(unions)):
+                    n = int(upto[-1, u])
+                    if n:
+                        for p in probs:
+                            place = p * (n - 1)
+                            low = math.floor(place)
+                            ranks.setdefault((u, key[0]), {})[p] = (low, min(n - 1, low + 1), place - low)
+                            wanted += [(u, low, 0), (u, min(n - 1, low + 1), 0)]
+            for u, rank, below in sorted(set(wanted)):
+                s = int(np.searchsorted(upto[:, u], rank - below, side="right"))
+                if lo[s] == hi[s]:
+                    found[u, key[0], rank] = float(lo[s])
+                else:
+                    again.setdefault((key[0], float(lo[s]), float(hi[s])), []).append((u, rank, below + (int(upto[s - 1, u]) if s else 0)))
+        pending = again
+        if pending:
+            keys = sorted(pending)
+            table = small_table(spark, [(k, *key) for k, key in enumerate(keys)], [("k", "int"), ("ci", "int"), ("lo", "double"), ("hi", "double")])
+            held = rows.join(F.broadcast(table), (F.col("i") == F.col("ci")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+            got = held.groupBy("k").agg(F.percentile_approx("v", even, 10 * (cuts + 1)).alias("cuts")).collect()
+            at_cuts = {keys[r["k"]]: sorted(set(r["cuts"])) for r in got}
+    out = {}
+    for (u, i), by in ranks.items():
+        for p, (low, high, w) in by.items():
+            a, b = found[u, i, low], found[u, i, high]
+            out[u, i, p] = a + (b - a) * w
+    return out
+
+
 def running_total(
     counted: DataFrame,
     group: list[str],
@@ -258,8 +327,10 @@ def attach_values(df: DataFrame, lookup: DataFrame, key: str, count: str, rows:
     is_hot = hot.select(key).withColumn("__hot", F.lit(True))
     marked = df.join(F.broadcast(is_hot), key, "left")
     first = marked.where(F.col("__hot").isNotNull()).drop("__hot").join(F.broadcast(hot), key, "left")
-    second = marked.where(F.col("__hot").isNull()).drop("__hot").join(cold, key, "left")
-    return first.unionByName(second)
+    second = marked.where(F.col("__hot").isNull() & F.col(key).isNotNull()).drop("__hot").join(cold, key, "left")
+    # nulls meet nothing and are not shuffled
+    empty = df.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in cold.schema if f.name != key])
+    return first.unionByName(second).unionByName(empty)
 
 
 def count_values(df: DataFrame, cols: list[str], text_limit: int | None = None) -> DataFrame:

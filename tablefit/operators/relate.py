@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablefit.functions.exprs import band, c, rounded
 from tablefit.functions.pvalues import f_sf
 from tablefit.functions.ranks import attach_values, average_rank, count_values, running_total
-from tablefit.operators.facts import Facts, as_facts, pair_correlations, small_table
+from tablefit.operators.facts import PAIRS_IN_JVM, Facts, as_facts, pair_correlations, small_table
 from tablefit.sources.tables import settle
 
 PAIR_FIELDS = [("feature_1", "string"), ("feature_2", "string"), ("pearson", "double")]
@@ -57,28 +57,51 @@ def spearman(df, pairs: list[tuple[str, str]] | None = None) -> dict[tuple[str,
     """Spearman rho of column pairs: Pearson of average ranks.
 
     Ranks come from counted values (one shuffle for all columns) and are joined back per column;
-    hot values are broadcast, so no join key carries more than a thousandth of the rows.
+    hot values are broadcast, so no join key carries more than a thousandth of the rows. With nulls
+    a value has one rank for each partner of its column, taken among the rows where both are present:
+    the same shuffle counts every value by the partners present beside it.
     """
     f = as_facts(df)
     names = f.numeric
     pairs = pairs or [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     used = sorted({n for p in pairs for n in p})
-    complete = all(f.scan()[n]["missing"] == 0 for n in used)
-    groups = [used] if complete else [list(p) for p in pairs]
+    base = f.df.select(*[c(n).cast("double").alias(f"x{i}") for i, n in enumerate(used)])
+    if any(f.scan()[n]["missing"] for n in used):
+        return _spearman_with_nulls(base, used, pairs, f.rows)
+    cols = base.columns
+    ranked = settle(average_rank(count_values(base, cols).select("column", F.col("num").alias("v"), "cnt"), ["column"], "v", "cnt"))
+    for i in range(len(used)):
+        look = ranked.where(F.col("column") == f"x{i}").select(F.col("v").alias(f"x{i}"), "cnt", F.col("rank").alias(f"r{i}"))
+        base = attach_values(base, look, f"x{i}", "cnt", f.rows)
+    ranks = base.select(*[F.col(f"r{i}").alias(n) for i, n in enumerate(used)])
+    return pair_correlations(ranks, pairs, {n: (f.rows + 1) / 2 for n in used})
+
+
+def _spearman_with_nulls(base: DataFrame, used: list[str], pairs: list[tuple[str, str]], rows: int) -> dict[tuple[str, str], float | None]:
+    """Every pair over its own complete rows. ``base`` has columns x0, x1, ... in the order of ``used``."""
+    at = {n: i for i, n in enumerate(used)}
+    partners = {i: sorted({at[b] for a, b in pairs if at[a] == i} | {at[a] for a, b in pairs if at[b] == i}) for i in at.values()}
+    # (column, value, rows with it, rows of it where each other column is present)
+    there = F.array(*[F.col(n).isNotNull().cast("bigint") for n in base.columns])
+    entries = [F.when(F.col(n).isNotNull(), F.struct(F.lit(i).alias("i"), (F.col(n) + F.lit(0.0)).alias("v"))) for i, n in enumerate(base.columns)]
+    long = base.select(there.alias("t"), F.explode(F.array(*entries)).alias("e")).where("e is not null").select("e.i", "e.v", "t")
+    beside = [f"n{j}" for j in range(len(used))]
+    counted = long.groupBy("i", "v").agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(F.col("t")[j]).alias(n) for j, n in enumerate(beside)])
+    ranked = running_total(counted, ["i"], "v", beside)
+    rank = lambda j: F.col(f"n{j}_upto") - (F.col(f"n{j}") - 1) / F.lit(2.0)
+    ranked = settle(ranked.select("i", "v", "cnt", F.array(*[rank(j) for j in range(len(used))]).alias("r")))
+    for i in range(len(used)):
+        look = ranked.where(F.col("i") == i).select(F.col("v").alias(f"x{i}"), "cnt", F.col("r").alias(f"r{i}"))
+        base = attach_values(base.withColumn(f"x{i}", F.col(f"x{i}") + F.lit(0.0)), look, f"x{i}", "cnt", rows)
+    both = lambda i, j: F.when(F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull(), F.col(f"r{i}")[j]).alias(f"r{i}_{j}")
+    ranks = settle(base.select(*[both(i, j) for i, js in partners.items() for j in js]))
+    sizes = ranks.agg(*[F.count(f"r{at[a]}_{at[b]}").alias(f"n{k}") for k, (a, b) in enumerate(pairs)]).first()
     out: dict[tuple[str, str], float | None] = {}
-    for group in groups:
-        base = f.df.select(*[c(n).cast("double").alias(f"x{i}") for i, n in enumerate(group)])
-        if not complete:
-            base = base.dropna()
-        rows = f.rows if complete else base.count()
-        cols = [f"x{i}" for i in range(len(group))]
-        ranked = settle(average_rank(count_values(base, cols).select("column", F.col("num").alias("v"), "cnt"), ["column"], "v", "cnt"))
-        for i in range(len(group)):
-            look = ranked.where(F.col("column") == f"x{i}").select(F.col("v").alias(f"x{i}"), "cnt", F.col("rank").alias(f"r{i}"))
-            base = attach_values(base, look, f"x{i}", "cnt", rows)
-        ranks = base.select(*[F.col(f"r{i}").alias(n) for i, n in enumerate(group)])
-        wanted = [p for p in pairs if p[0] in group and p[1] in group] if complete else [tuple(group)]
-        out |= pair_correlations(ranks, wanted, {n: (rows + 1) / 2 for n in group})
+    for k in range(0, len(pairs), PAIRS_IN_JVM):  # each pair has rank columns of its own
+        part = {p: (f"r{at[p[0]]}_{at[p[1]]}", f"r{at[p[1]]}_{at[p[0]]}") for p in pairs[k:k + PAIRS_IN_JVM]}
+        mid = {n: (sizes[f"n{k + i}"] + 1) / 2 for i, cols in enumerate(part.values()) for n in cols}
+        got = pair_correlations(ranks, list(part.values()), mid)
+        out |= {p: got[cols] for p, cols in part.items()}
     return out
 
 
