@@ -115,9 +115,13 @@ def flag_anomalies(df, key: list[str], target: str | None = None, rules: str = "
 
 def anomalies(df, key: list[str], target: str | None = None, rules: str = "fixed", trees: int = 100) -> DataFrame:
     """Count, share and severity of the flagged rows (3/8 % or 5/15 %)."""
-    flagged = flag_anomalies(df, key, target, rules, trees)
-    t = flagged.agg(F.count_if("is_anomaly").alias("anomaly_count"), F.count(F.lit(1)).alias("rows"))
-    pct = F.col("anomaly_count") / F.col("rows") * 100
+    return flag_summary(flag_anomalies(df, key, target, rules, trees), rules)
+
+
+def flag_summary(flagged: DataFrame, rules: str = "fixed", flag: str = "is_anomaly") -> DataFrame:
+    """Count, share and severity of the rows flagged by any rule or model; a null flag is none."""
+    t = flagged.agg(F.count_if(c(flag)).alias("anomaly_count"), F.count(F.lit(1)).alias("rows"))
+    pct = F.col("anomaly_count") / F.nullif(F.col("rows"), F.lit(0)) * 100
     band = F.when(pct < 3, "LOW").when(pct < 8, "MODERATE").otherwise("HIGH") if rules == "fixed" else F.when(pct > 15, "HIGH").when(pct > 5, "MODERATE").otherwise("LOW")
     return t.select("anomaly_count", "rows", rounded(pct, 2).alias("anomaly_percent"), band.alias("severity"))
 

@@ -7,13 +7,17 @@ totals are range-bucketed, so a near-unique column never meets in one task.
 
 from __future__ import annotations
 
+import bisect
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablefit.functions.exprs import c, long_numbers, ratio, rounded
 from tablefit.functions.pvalues import chi2_sf, ks_2samp_sf
-from tablefit.functions.ranks import running_total
+from tablefit.functions.ranks import exact_quantiles, running_total
 from tablefit.operators.facts import as_facts, small_table
 from tablefit.sources.tables import column_kinds, normalise, settle
 
@@ -163,16 +167,61 @@ def common_numeric(a: DataFrame, b: DataFrame) -> list[str]:
     return sorted(n for n in set(a.columns) & set(b.columns) if ka[n] == "numeric" and kb[n] == "numeric")
 
 
+def _both_sides(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, v, a, b): every number of every column with a 1 for its side."""
+    one = long_numbers(a, cols).select("i", "v", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    return one.unionAll(long_numbers(b, cols).select("i", "v", F.lit(0).alias("a"), F.lit(1).alias("b")))
+
+
+def _bin_cells(rows: DataFrame, spot) -> dict[int, dict[int, tuple[int, int]]]:
+    """Counts of both sides by column and bin, from one scan; only a few bins per column leave it."""
+    out: dict[int, dict[int, tuple[int, int]]] = {}
+    for r in rows.groupBy("i", spot.alias("bin")).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")).collect():
+        out.setdefault(r["i"], {})[r["bin"]] = (r["n_a"], r["n_b"])
+    return out
+
+
 def psi(a, b, cols: list[str] | None = None) -> DataFrame:
+    """Population stability over the deciles of side a: exact edges of one side, then one binning scan of
+    both. The last bin is closed on the right; values of side b outside the bins fall out, shares are
+    taken of all values. Fewer than two different edges give 0; a column empty on a side has no row."""
     a, b = normalise(a), normalise(b)
-    d = NumericDrift(a, b, cols or common_numeric(a, b))
-    return d._join(d.psi()).select("column", rounded(F.col("psi")).alias("psi"), psi_band(F.round("psi", 4)).alias("band"))
+    cols = cols or common_numeric(a, b)
+    edges = {i: sorted({v for v in q.values() if v is not None}) for i, (n, q) in enumerate(exact_quantiles(a, cols, [k / PSI_BINS for k in range(PSI_BINS + 1)]).items())}
+    table = F.create_map(*[x for i, e in edges.items() for x in (F.lit(i), F.array(*[F.lit(float(v)) for v in e]) if e else F.array().cast("array<double>"))])[F.col("i")]
+    inside = (F.size(table) > 1) & (F.col("v") >= table[0]) & (F.col("v") <= F.element_at(table, -1))
+    spot = F.when(inside, F.least(F.size(F.filter(table, lambda e: e <= F.col("v"))) - 1, F.size(table) - 2)).otherwise(-1)
+    rows = []
+    for i, cells in _bin_cells(_both_sides(a, b, cols), spot).items():
+        t_a, t_b = (sum(x[side] for x in cells.values()) for side in (0, 1))
+        if t_a and t_b:
+            got = [cells.get(k, (0, 0)) for k in range(len(edges[i]) - 1)]
+            e, o = [x / t_a + EPS for x, _ in got], [y / t_b + EPS for _, y in got]
+            rows.append((cols[i], abs(math.fsum((y / sum(o) - x / sum(e)) * math.log(y / sum(o) / (x / sum(e))) for x, y in zip(e, o)))))
+    t = small_table(a.sparkSession, rows, [("column", "string"), ("psi", "double")])
+    return t.select("column", rounded(F.col("psi")).alias("psi"), psi_band(F.round("psi", 4)).alias("band"))
 
 
 def js_distance(a, b, cols: list[str] | None = None) -> DataFrame:
+    """Jensen-Shannon distance over equal-width bins of the joint range: one scan for the ranges, one that
+    bins both sides. A column empty on a side has no row."""
     a, b = normalise(a), normalise(b)
-    d = NumericDrift(a, b, cols or common_numeric(a, b))
-    return d._join(d.js()).select("column", rounded(F.col("js")).alias("js_distance"))
+    cols = cols or common_numeric(a, b)
+    sides = _both_sides(a, b, cols)
+    ranges = {r["i"]: (r["lo"], r["hi"]) for r in sides.groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 0 and b > 0").collect()}
+    # a constant column gets the unit-wide range around its value
+    span = {i: (lo, hi) if hi > lo else (lo - 0.5, hi + 0.5) for i, (lo, hi) in ranges.items()}
+    rows = []
+    if span:
+        of = lambda get: F.create_map(*[x for i, s in span.items() for x in (F.lit(i), F.lit(float(get(s))))])[F.col("i")]
+        spot = F.least(F.floor((F.col("v") - of(lambda s: s[0])) / of(lambda s: (s[1] - s[0]) / JS_BINS)), F.lit(JS_BINS - 1)).cast("int")
+        for i, cells in _bin_cells(sides.where(F.col("i").isin(list(span))), spot).items():
+            p, q = ([cells.get(k, (0, 0))[side] + EPS for k in range(JS_BINS)] for side in (0, 1))
+            p, q = [x / math.fsum(p) for x in p], [x / math.fsum(q) for x in q]
+            half = math.fsum(x * math.log(2 * x / (x + y)) + y * math.log(2 * y / (x + y)) for x, y in zip(p, q))
+            rows.append((cols[i], math.sqrt(max(half / 2, 0.0))))
+    t = small_table(a.sparkSession, rows, [("column", "string"), ("js", "double")])
+    return t.select("column", rounded(F.col("js")).alias("js_distance"))
 
 
 def ks_2samp(a, b, cols: list[str] | None = None) -> DataFrame:
@@ -280,34 +329,52 @@ def _per_mille_psi(t: DataFrame) -> dict[str, float]:
     """PSI where each category index is repeated by its share in per mille and cut at k quantiles
     of the repeated indexes. Only categories with at least 0.5 per mille on a side survive the
     rounding (no more than 4,000 per column), so this part is small whatever the table."""
-    import math
-
-    import numpy as np
-
     rint = lambda x: F.rint(x * 1000).cast("int")
     weights = t.select("column", "value", "k", rint(F.col("p_a")).alias("w_a"), rint(F.col("p_b")).alias("w_b"))
     kept = weights.where("w_a > 0 or w_b > 0")
     # position of each surviving category among all categories of its column
     ranked = running_positions(weights.select("column", "value"), kept.select("column", "value"))
     rows = kept.join(ranked, ["column", "value"]).collect()
-    out = {}
-    for name in {r["column"] for r in rows}:
-        mine = [r for r in rows if r["column"] == name]
-        k = mine[0]["k"]
-        a = np.repeat([r["pos"] for r in mine], [r["w_a"] for r in mine]).astype(float)
-        b = np.repeat([r["pos"] for r in mine], [r["w_b"] for r in mine]).astype(float)
-        if not len(a) or not len(b):
-            out[name] = 0.0
-            continue
-        edges = np.unique(np.quantile(a, np.unique(np.linspace(0, 1, min(k, 4000) + 1))))
-        if len(edges) < 2:
-            out[name] = 0.0
-            continue
-        e = np.histogram(a, edges)[0] / len(a) + EPS
-        o = np.histogram(b, edges)[0] / len(b) + EPS
-        e, o = e / e.sum(), o / o.sum()
-        out[name] = abs(math.fsum((o - e) * np.log(o / e)))
-    return out
+    return {name: repeated_psi([(r["pos"], r["w_a"], r["w_b"]) for r in rows if r["column"] == name], next(r["k"] for r in rows if r["column"] == name)) for name in {r["column"] for r in rows}}
+
+
+def repeated_psi(weights: list[tuple[int, int, int]], k: int) -> float:
+    """PSI of indexes repeated by two weights, over bins between k + 1 quantiles of the first side.
+
+    Quantiles are not listed: the bin of an index is found by bisection, bins without any index are
+    counted, so k may be as large as the number of categories of any table."""
+    a = np.repeat([p for p, w, _ in sorted(weights)], [w for _, w, _ in sorted(weights)]).astype(float)
+    total_b = sum(w for _, _, w in weights)
+    if not len(a) or not total_b:
+        return 0.0
+
+    def edge(j: int) -> float:
+        # linear interpolation as numpy.quantile rounds it
+        at = (len(a) - 1) * (1.0 if j == k else j * (1.0 / k))
+        low = min(math.floor(at), len(a) - 1)
+        x, y, w = float(a[low]), float(a[min(low + 1, len(a) - 1)]), at - low
+        return x + (y - x) * w if w < 0.5 else y - (y - x) * (1.0 - w)
+
+    upto = lambda x: bisect.bisect_right(range(k + 1), x, key=edge)  # quantiles up to x
+    # different quantiles: all that lie strictly between neighbours, and each index that is hit
+    points = sorted(set(a.tolist()))
+    below = lambda x: bisect.bisect_left(range(k + 1), x, key=edge)
+    edges = sum(upto(x) > below(x) for x in points) + sum(below(y) - upto(x) for x, y in zip(points, points[1:]))
+    if edges < 2:
+        return 0.0
+    cells: dict[float, list[int]] = {}
+    last = edge(below(points[-1]) - 1)  # where the last bin starts
+    for p, w_a, w_b in weights:
+        if points[0] <= p <= points[-1]:
+            start = last if p == points[-1] else edge(upto(p) - 1)
+            cell = cells.setdefault(start, [0, 0])
+            cell[0] += w_a
+            cell[1] += w_b
+    e = np.array([c[0] / len(a) for c in cells.values()] + [0.0]) + EPS
+    o = np.array([c[1] / total_b for c in cells.values()] + [0.0]) + EPS
+    times = np.array([1] * len(cells) + [edges - 1 - len(cells)])
+    e, o = e / (e * times).sum(), o / (o * times).sum()
+    return abs(math.fsum(times * (o - e) * np.log(o / e)))
 
 
 def running_positions(every: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -373,6 +440,13 @@ def drift_columns(a, b) -> DataFrame:
     return out
 
 
+def drift_ranking(a, b) -> DataFrame:
+    """``drift_columns`` with ``position``: the most severe first, then by name. One row per column."""
+    order = F.when(F.col("drift_severity") == "SIGNIFICANT_DRIFT", 0).when(F.col("drift_severity") == "MODERATE_DRIFT", 1).otherwise(2)
+    t = drift_columns(a, b).withColumn("position", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order, "column")))
+    return t.orderBy("position")
+
+
 def drift_report(a, b) -> DataFrame:
     """Counts by severity, share of drifted columns, overall risk."""
     s = F.col("drift_severity")
