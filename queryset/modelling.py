@@ -8,6 +8,7 @@ from queryset.base import Registry, r4, read, src
 from tablefit.functions.exprs import rounded
 from tablefit.operators import anomaly as A
 from tablefit.operators import cluster as K
+from tablefit.operators import issues as I
 from tablefit.operators import scoring as SC
 from tablefit.operators import training as TR
 from tablefit.operators.facts import small_table
@@ -122,6 +123,9 @@ REG.add("anomalies_lineitem", lambda spark, sf: A.anomalies(read(spark, sf, _pri
 # all columns; a forest has no SQL, tests compare the flagged share with the contamination
 REG.add("anomalies_lineitem_whole", lambda spark, sf: A.anomalies(read(spark, sf, _prices), ["l_orderkey", "l_linenumber"]))
 REG.add("anomalies_documents", lambda spark, sf: A.anomalies(read(spark, sf, _docs), ["doc_id"], "quality", rules="auto"))
+REG.add("anomaly_top_features_lineitem", lambda spark, sf: A.top_features(A.flag_anomalies(read(spark, sf, _prices), ["l_orderkey", "l_linenumber"]).drop("l_orderkey", "l_linenumber")))
+REG.add("most_anomalous_lineitem", lambda spark, sf: A.most_anomalous(A.flag_anomalies(read(spark, sf, _prices), ["l_orderkey", "l_linenumber"])))
+REG.add("readiness_with_anomalies_orders", lambda spark, sf: I.readiness(read(spark, sf, "orders"), "o_orderpriority", anomalies=A.anomalies(read(spark, sf, "orders"), ["o_orderkey"], "o_orderpriority")))
 _flagged = "SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_quantity > 48 AS odd FROM {lineitem}"
 REG.add(
     "deviation_lineitem", lambda spark, sf: A.deviation(read(spark, sf, _flagged), "odd"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from queryset.base import Registry, columns_of, corr_sql, facts_sql, numeric_of, over_facts, quote, r4, read, src
 from queryset.profiling import _q
 from tablefit.functions import names as N
+from tablefit.operators import anomaly as A
 from tablefit.operators import issues as I
 from tablefit.operators import quality as Q
 from tablefit.operators import relate as R
@@ -65,6 +66,32 @@ REG.add(
     f"SELECT 'p_size' AS feature_1, 'p_retailprice' AS feature_2, {r4('s / sqrt(dx * dy)', 6)} AS kendall FROM p",
 )
 REG.add("corr_methods_lineitem_skew", _q(R.corr_methods, "SELECT l_quantity, l_extendedprice, l_extendedprice * l_extendedprice AS price_sq, -l_quantity AS negated FROM {lineitem}"))
+_part_nulls = (
+    "SELECT CASE WHEN p_partkey % 11 <> 0 THEN p_size END AS size, CASE WHEN p_partkey % 7 <> 0 THEN p_size * 3 + p_partkey % 3 END AS noisy, CASE WHEN p_partkey % 5 <> 0 THEN -p_size * p_size END AS mirrored, "
+    "CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS price FROM {part}"
+)
+_part_cols = ["size", "noisy", "mirrored", "price"]
+_part_pairs = [(a, b) for i, a in enumerate(_part_cols) for b in _part_cols[i + 1:]]
+
+
+def rank_pair_sql(a, b):
+    """Pearson, Spearman and Kendall of two columns over the rows where both are present."""
+    rank = lambda x: f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0"
+    return (
+        f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, * FROM (WITH t AS (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM {src(_part_nulls)} WHERE {a} IS NOT NULL AND {b} IS NOT NULL), "
+        f"k AS (SELECT x, y, count(*) AS n FROM t GROUP BY 1, 2), g AS (SELECT sum(CAST(sign(p.x - q.x) * sign(p.y - q.y) AS DOUBLE) * p.n * q.n) AS s, sum(CASE WHEN p.x <> q.x THEN p.n * q.n * 1.0 ELSE 0 END) AS dx, sum(CASE WHEN p.y <> q.y THEN p.n * q.n * 1.0 ELSE 0 END) AS dy FROM k p, k q) "
+        f"SELECT (SELECT corr(x, y) FROM t) AS pearson, (SELECT corr(rx, ry) FROM (SELECT {rank('x')} AS rx, {rank('y')} AS ry FROM t)) AS spearman, s / sqrt(dx * dy) AS kendall, "
+        f"(SELECT var_samp(CAST({a} AS DOUBLE)) FROM {src(_part_nulls)}) AS va, (SELECT var_samp(CAST({b} AS DOUBLE)) FROM {src(_part_nulls)}) AS vb FROM g)"
+    )
+
+
+_three = " UNION ALL ".join(rank_pair_sql(a, b) for a, b in _part_pairs)
+REG.add("spearman_pairs_part_nulls", _q(R.spearman_pairs, _part_nulls), f"SELECT feature_1, feature_2, {r4('spearman')} AS spearman FROM ({_three})")
+REG.add(
+    "corr_methods_part_nulls", _q(R.corr_methods, _part_nulls),
+    f"SELECT feature_1, feature_2, {r4('pearson')} AS pearson, {r4('spearman')} AS spearman, {r4('kendall')} AS kendall, CASE WHEN abs(pearson) > 0.95 THEN 'CRITICAL' WHEN abs(pearson) > 0.9 THEN 'HIGH' ELSE 'MODERATE' END AS severity, "
+    f"abs(spearman) > 0.8 AND abs(kendall) > 0.8 AS all_methods_agree, CASE WHEN va < vb THEN feature_1 ELSE feature_2 END AS drop_suggestion FROM ({_three}) WHERE abs(pearson) > 0.8",
+)
 
 for name, y in (("part", "p_retailprice"), ("lineitem_skew", "l_extendedprice"), ("orders_nulls", "o_totalprice")):
     REG.add(
@@ -338,7 +365,8 @@ for name, y in (("orders_dirty", "o_orderstatus"), ("part", "p_retailprice")):
 
 # ---- issues ------------------------------------------------------------------------------------
 
-def issues_cte(name, y):
+def issues_cte(name, y, anomaly=None):
+    found = f"UNION ALL SELECT 'HIGH', 'Anomalies', 'table', 'anomaly_detection' FROM ({anomaly}) WHERE pct >= 8 " if anomaly else ""
     return (
         f"{simple_quality_cte(name, y)}, leaks AS ({leak_sql(name, y)}), pairs AS ({corr_sql(name)}), iss AS ("
         "SELECT CASE WHEN miss > 30 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, 'Completeness' AS category, 'table' AS subject, 'dataset_summary' AS source FROM q WHERE miss > 10 "
@@ -347,7 +375,7 @@ def issues_cte(name, y):
         f"UNION ALL SELECT 'MODERATE', 'Feature Quality', \"column\", 'feature_analysis' FROM facts WHERE \"distinct\" <= 1 AND \"column\" <> '{y}' "
         "UNION ALL SELECT 'HIGH', 'Multicollinearity', feature_1 || '|' || feature_2, 'correlation_analysis' FROM pairs WHERE abs(r) > 0.9 "
         "UNION ALL SELECT 'CRITICAL', 'Data Leakage', feature, 'leakage_analysis' FROM leaks "
-        f"UNION ALL SELECT 'MODERATE', 'Class Balance', '{y}', 'quality_score' FROM q WHERE class_balance < 60 "
+        f"{found}UNION ALL SELECT 'MODERATE', 'Class Balance', '{y}', 'quality_score' FROM q WHERE class_balance < 60 "
         "UNION ALL SELECT 'MODERATE', 'Data Adequacy', 'table', 'dataset_summary' FROM q WHERE rows * 1.0 / cols < 10 "
         "UNION ALL SELECT 'LOW', 'Feature Distribution', 'table', 'feature_analysis' FROM facts WHERE abs(skew) > 3 HAVING count(*) > 3), "
         f"ready AS (SELECT {r4('greatest(10, least(100, overall_score - 12 * (SELECT count(*) FROM iss WHERE severity = ' + chr(39) + 'CRITICAL' + chr(39) + ') - 5 * (SELECT count(*) FROM iss WHERE severity = ' + chr(39) + 'HIGH' + chr(39) + ')))', 1)} AS readiness_score FROM q)"
@@ -397,17 +425,17 @@ for name, y in (("orders_dirty", "o_totalprice"), ("lineitem_skew", "price_copy"
     )
 
 
-def gate_sql(name, y, confidence):
+def gate_sql(name, y, confidence, anomaly=None):
     checks = [
         ("row_count", "rows >= 100", "rows"), ("rows_per_feature", "rows * 1.0 / cols >= 10", "rows * 1.0 / cols"), ("missing_rate", "miss < 20", "miss"), ("no_duplicates", "dups = 0", "dups"),
         ("target_detected", f"{confidence} >= 0.4", str(confidence)), ("no_leakage", "(SELECT count(*) FROM leaks) = 0", "(SELECT count(*) FROM leaks)"), ("class_balance", "class_balance >= 60", "class_balance"),
-        ("anomaly_rate", "true", "0"), ("completeness", "completeness >= 70", "completeness"), ("no_constant_columns", "(SELECT count(*) FROM facts WHERE \"distinct\" <= 1) = 0", "(SELECT count(*) FROM facts WHERE \"distinct\" <= 1)"),
+        ("anomaly_rate", f"(SELECT pct FROM ({anomaly})) < 8" if anomaly else "true", f"(SELECT pct FROM ({anomaly}))" if anomaly else "0"), ("completeness", "completeness >= 70", "completeness"), ("no_constant_columns", "(SELECT count(*) FROM facts WHERE \"distinct\" <= 1) = 0", "(SELECT count(*) FROM facts WHERE \"distinct\" <= 1)"),
         ("no_sparse_columns", "(SELECT count(*) FROM facts WHERE missing * 1.0 / rows > 0.6) = 0", "(SELECT count(*) FROM facts WHERE missing * 1.0 / rows > 0.6)"),
         ("readiness", "(SELECT readiness_score FROM ready) >= 70", "(SELECT readiness_score FROM ready)"),
     ]
     rows = " UNION ALL ".join(f"SELECT '{n}' AS \"check\", CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status, {r4(v, 2)} AS value FROM q" for n, ok, v in checks)
     return (
-        f"WITH {issues_cte(name, y)}, g AS ({rows}) SELECT *, CASE WHEN (SELECT count(*) FILTER (WHERE status = 'PASS') * 1.0 / count(*) FROM g) >= 0.75 AND "
+        f"WITH {issues_cte(name, y, anomaly)}, g AS ({rows}) SELECT *, CASE WHEN (SELECT count(*) FILTER (WHERE status = 'PASS') * 1.0 / count(*) FROM g) >= 0.75 AND "
         "(SELECT count(*) FROM g WHERE \"check\" IN ('no_leakage', 'target_detected') AND status = 'FAIL') = 0 THEN 'PASS' ELSE 'FAIL' END AS overall FROM g"
     )
 
@@ -416,34 +444,60 @@ for name, y in (("orders_dirty", "o_orderstatus"), ("orders", "o_orderpriority")
     REG.add(f"validate_{name}", _q(I.validate, name, y), gate_sql(name, y, 1.0))
 
 
+# rows flagged by a rule that both engines know, in place of a forest: many in one table, few in the other
+_FLAGS = {"orders_dirty": ("o_orderstatus", "o_totalprice > 350000"), "orders": ("o_orderpriority", "o_totalprice < 1200")}
+for name, (y, odd) in _FLAGS.items():
+    flagged = f"SELECT {odd} AS is_anomaly FROM {src(name)}"
+    share = f"SELECT {r4('count(*) FILTER (WHERE is_anomaly) * 100.0 / count(*)', 2)} AS pct FROM ({flagged})"
+    flags = lambda spark, sf, name=name, odd=odd: A.flag_summary(read(spark, sf, name).selectExpr(f"{odd} AS is_anomaly"))
+    with_flags = lambda fn, name=name, y=y, flags=flags: lambda spark, sf: fn(read(spark, sf, name), y, anomalies=flags(spark, sf))
+    REG.add(
+        f"flag_summary_{name}", flags,
+        f"SELECT count(*) FILTER (WHERE is_anomaly) AS anomaly_count, count(*) AS rows, any_value(pct) AS anomaly_percent, CASE WHEN any_value(pct) < 3 THEN 'LOW' WHEN any_value(pct) < 8 THEN 'MODERATE' ELSE 'HIGH' END AS severity FROM ({flagged}), ({share})",
+    )
+    REG.add(f"issues_flagged_{name}", with_flags(I.issues), f"WITH {issues_cte(name, y, share)} SELECT * FROM iss")
+    REG.add(f"validate_flagged_{name}", with_flags(I.validate), gate_sql(name, y, 1.0, share))
+    REG.add(
+        f"positive_signals_{name}", with_flags(I.positive_signals),
+        f"WITH {issues_cte(name, y, share)} SELECT 'near_complete' AS signal, {r4('miss', 2)} AS value FROM q WHERE miss < 2 UNION ALL SELECT 'no_duplicates', 0.0 FROM q WHERE dups = 0 "
+        "UNION ALL SELECT 'no_multicollinearity', 0.0 FROM pairs WHERE abs(r) > 0.75 HAVING count(*) = 0 UNION ALL SELECT 'no_leakage', 0.0 FROM leaks HAVING count(*) = 0 "
+        f"UNION ALL SELECT 'few_anomalies', pct FROM ({share}) WHERE pct < 2 UNION ALL SELECT 'ready', readiness_score FROM ready WHERE readiness_score >= 80",
+    )
+
+
 def ci_sql(name, key, y, n):
     """Subsamples as unions of hash blocks, everything recomputed per subsample over the rows."""
     cols = columns_of(name)
-    num = [c for c in numeric_of(name)]
+    num, texts = [c for c in numeric_of(name)], [c for c, kind in cols if kind == "s"]
     k = len(cols)
     out_cols = [c for c in num if c != y]
-    fence = {c: f"(SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM t)" for c in out_cols}
-    fence_hi = {c: f"(SELECT quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) FROM t)" for c in out_cols}
-    fences = "fen AS (SELECT " + ", ".join(f"{fence[c]} AS lo_{c}, {fence_hi[c]} AS hi_{c}" for c in out_cols) + ")"
+    iqr = lambda c: f"(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))"
+    fences = "fen AS (SELECT i, " + ", ".join(f"quantile_cont({c}, 0.25) - 1.5 * {iqr(c)} AS lo_{c}, quantile_cont({c}, 0.75) + 1.5 * {iqr(c)} AS hi_{c}" for c in out_cols) + " FROM s GROUP BY i)"
     missing = " + ".join(f"count(*) - count({c})" for c, _ in cols)
     rates = " + ".join(f"count(*) FILTER (WHERE {c} < lo_{c} OR {c} > hi_{c}) * 100.0 / count({c})" for c in out_cols)
     pairs = [(a, b) for i, a in enumerate(num) for b in num[i + 1:]]
     safe = lambda a, b: f"abs(CASE WHEN isfinite(corr({a}, {b})) THEN corr({a}, {b}) END)"
     crit = " + ".join(f"CASE WHEN {safe(a, b)} > 0.95 THEN 1 ELSE 0 END" for a, b in pairs if y in (a, b)) or "0"
-    crit += f" + (SELECT count(*) FROM ({leak_sql(name, y)}) WHERE reason = 'one_to_one_mapping')"
+    single = lambda c: f"SELECT i, bool_and(lo = hi) AS one FROM (SELECT i, min({y}) AS lo, max({y}) AS hi FROM s WHERE {c} IS NOT NULL AND {y} IS NOT NULL GROUP BY i, {c}) GROUP BY i"
+    maps = "mp AS (" + " UNION ALL ".join(
+        f"SELECT i FROM (SELECT i, count(DISTINCT {c}) AS dc, count(DISTINCT {y}) AS dy FROM s GROUP BY i) JOIN ({single(c)}) USING (i) WHERE dc = dy AND dc > 0 AND one" for c, _ in cols if c != y) + ")"
+    digits = lambda c: (
+        f"(count(*) FILTER (WHERE regexp_matches(replace(replace({c}, '.', ''), '-', ''), '^[0-9]+$') AND length({c}) - length(replace({c}, '.', '')) <= 1 AND length({c}) - length(replace({c}, '-', '')) <= 1) * 1.0 / nullif(count({c}), 0))")
+    mixed = " + ".join(f"CASE WHEN {digits(c)} > 0.3 AND {digits(c)} < 0.8 THEN 1 ELSE 0 END" for c in texts) or "0"
     high = " + ".join([f"CASE WHEN {safe(a, b)} > 0.9 THEN 1 ELSE 0 END" for a, b in pairs] + [f"CASE WHEN count({c}) < count(*) * 0.5 THEN 1 ELSE 0 END" for c, _ in cols])
     names = ", ".join(c for c, _ in cols)
     return (
         f"WITH t AS {src(name)}, it AS (SELECT i, b FROM (SELECT i, b, row_number() OVER (PARTITION BY i ORDER BY md5(i || '-' || b)) AS o FROM range({n}) x(i), range(64) z(b)) WHERE o <= 51), "
-        f"{fences}, tb AS (SELECT *, CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 2) AS INT) % 64 AS b FROM t), s AS (SELECT it.i, tb.* EXCLUDE (b) FROM it JOIN tb USING (b)), "
-        f"a AS (SELECT i, count(*) AS n, ({missing}) * 100.0 / (count(*) * {k}) AS miss, ({rates}) / {len(out_cols)} AS outp, {crit} AS crit, {high} AS high FROM s, fen GROUP BY i), "
+        f"tb AS (SELECT *, CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 2) AS INT) % 64 AS b FROM t), s AS (SELECT it.i, tb.* EXCLUDE (b) FROM it JOIN tb USING (b)), {fences}, {maps}, "
+        f"a AS (SELECT i, count(*) AS n, ({missing}) * 100.0 / (count(*) * {k}) AS miss, ({rates}) / {len(out_cols)} AS outp, {crit} AS crit0, {high} AS high, {mixed} AS mixed FROM s JOIN fen USING (i) GROUP BY i), "
         f"d AS (SELECT i, count(*) AS dn FROM (SELECT DISTINCT i, {names} FROM s) GROUP BY i), cb AS (SELECT i, count(*) AS ky, max(cnt) * 1.0 / min(cnt) AS r FROM (SELECT i, {y}, count(*) AS cnt FROM s WHERE {y} IS NOT NULL GROUP BY 1, 2) GROUP BY i), "
-        f"q AS (SELECT i, n, miss, crit, high, (n - dn) * 100.0 / n AS dup, {r4('greatest(0, 100 - miss * 2.5)', 1)} + {r4('greatest(0, 100 - (n - dn) * 200.0 / n)', 1)} + 100 + {r4('CASE WHEN ky >= 2 THEN greatest(0, 100 - log10(r) * 30) ELSE 100 END', 1)} "
+        f"q AS (SELECT i, n, miss, crit0 + (SELECT count(*) FROM mp WHERE mp.i = a.i) AS crit, high, (n - dn) * 100.0 / n AS dup, {r4('greatest(0, 100 - miss * 2.5)', 1)} + {r4('greatest(0, 100 - (n - dn) * 200.0 / n)', 1)} + {r4('greatest(0, 100.0 - mixed * 10)', 1)} + {r4('CASE WHEN ky >= 2 THEN greatest(0, 100 - log10(r) * 30) ELSE 100 END', 1)} "
         f"+ {r4('greatest(0, 100 - outp * 3)', 1)} + {r4(f'least(100, n * 5.0 / {k})', 1)} AS total FROM a JOIN d USING (i) JOIN cb USING (i)) "
         f"SELECT CAST(i AS INT) AS i, n AS rows, {r4('greatest(10, least(100, ' + r4('total / 6', 1) + ' - 12 * (crit + CASE WHEN miss > 30 THEN 1 ELSE 0 END) - 5 * (high + CASE WHEN miss > 10 AND miss <= 30 THEN 1 ELSE 0 END + CASE WHEN dup > 5 THEN 1 ELSE 0 END)))', 1)} AS readiness_score FROM q"
     )
 
 
+REG.add("readiness_samples_part_mixed", lambda spark, sf: I.readiness_samples(read(spark, sf, "part_mixed"), ["p_partkey"], "p_size", 50), ci_sql("part_mixed", "p_partkey", "p_size", 50))
 REG.add("readiness_samples_orders_dirty", lambda spark, sf: I.readiness_samples(read(spark, sf, "orders_dirty"), ["o_orderkey"], "o_orderstatus", 50), ci_sql("orders_dirty", "o_orderkey", "o_orderstatus", 50))
 _ci = ci_sql("orders_dirty", "o_orderkey", "o_orderstatus", 50)
 REG.add(
