@@ -9,134 +9,115 @@ Decoding is per chunk too: the text is the chunks' texts in order without the fi
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablefit.llm.common import need, text_of
-from tablefit.llm.flat import RangeHash, slices
-
-ROOM = 1_000_000  # chunks a task remembers before it starts its table afresh
-_SPACE = 0x20
-_MARK = (0xE2, 0x96, 0x81)
-
-
-def chunk_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the chunks and the number before each row. A chunk is a run of marks (a
-    space or U+2581) and what follows up to the next run; the first may have no mark of its own."""
-    n = len(data)
-    if n == 0:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(len(offsets), np.int64)
-    head = np.zeros(n + 2, bool)
-    head[:n] = data == _MARK[0]
-    three = np.flatnonzero(head[:n])
-    three = three[three + 2 < n]
-    three = three[(data[three + 1] == _MARK[1]) & (data[three + 2] == _MARK[2])]
-    mark = data == _SPACE
-    inside = mark.copy()
-    for i in range(3):
-        inside[three + i] = True
-    mark[three] = True
-    begin = mark.copy()
-    begin[1:] &= ~inside[:-1]
-    row_starts = offsets[:-1][np.diff(offsets) > 0]
-    begin[row_starts] = True
-    lo = np.flatnonzero(begin)
-    hi = np.append(lo[1:], n)
-    return lo, hi, np.searchsorted(lo, offsets)
+from tablefit.llm.common import fields, need, text_of
+
+ROOM = 64 << 20   # bytes of chunks that a task remembers before it starts its table afresh
+SLICE = 1 << 20   # characters of text that are encoded at a time
+ENTRY = 300       # bytes of an entry besides its texts
+CHUNK = re.compile(r" +[^ ]*|[^ ]+")  # a run of marks and what follows up to the next; the first may have no mark
 
 
 class ChunkTable:
-    """Segments each distinct chunk once. Loaded in the task from the path of the model."""
+    """Segments each distinct chunk once. Loaded in the task from the path of the model. Keys are the chunks
+    themselves; those that open a text are kept apart, because only there the model adds a mark."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, decimal: bool, room: int = ROOM):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.check()
-        self.seen: dict[int, tuple[int, bytes, bytes]] = {}
-        self.end = self.model.eos_id()
-
-    def check(self) -> None:
         for i in range(self.model.get_piece_size()):
             if "▁" in self.model.id_to_piece(i).lstrip("▁"):
                 raise ValueError("a piece of this model crosses a white-space mark")
+        self.seen: dict[bool, dict[str, tuple[int, bytes, str]]] = {True: {}, False: {}}
+        self.decimal, self.room, self.held = decimal, room, 0
+        self.end = self.stored([self.model.eos_id()])
+
+    def stored(self, ids: list[int]) -> bytes:
+        return " ".join(map(str, ids)).encode() if self.decimal else np.array(ids, np.int32).tobytes()
+
+    def learn(self, chunks: set[str], opens: bool) -> None:
+        seen = self.seen[opens]
+        new = [c for c in chunks if c not in seen]
+        if not new:
+            return
+        # the library adds one mark in front; a chunk inside a text brings its own
+        texts = new if opens else [c[1:] for c in new]
+        ids = self.model.encode(texts, num_threads=1)
+        for chunk, text, own, back in zip(new, texts, ids, self.model.decode(ids, num_threads=1)):
+            if text == "":  # a mark alone, not added by the library for empty input
+                own, back = [self.model.piece_to_id("▁")], ""
+            entry = (len(own), self.stored(own), back if opens else " " + back)
+            seen[chunk] = entry
+            self.held += ENTRY + 4 * len(chunk) + len(entry[1]) + 4 * len(entry[2])
+
+    def rows(self, texts: list[str]):
+        """For each text: number of ids, ids as stored, decoded text."""
+        if self.held > self.room:
+            self.seen, self.held = {True: {}, False: {}}, 0
+        cut = [CHUNK.findall(t.replace("▁", " ")) for t in texts]
+        self.learn({c[0] for c in cut if c}, True)
+        inner = set()
+        for c in cut:
+            inner.update(c[1:])
+        self.learn(inner, False)
+        first, rest = self.seen[True], self.seen[False]
+        for c in cut:
+            own = [rest[x] for x in c[1:]]
+            if c:
+                own.insert(0, first[c[0]])
+            joined = [x[1] for x in own]
+            joined.append(self.end)
+            yield sum(x[0] for x in own) + 1, (b" " if self.decimal else b"").join(joined), "".join([x[2] for x in own])
+
+
+def _encode(model: Callable[[], str] | str, digest: bool, room: int):
+    kind = pa.string() if digest else pa.list_(pa.int32())
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
 
-    def rows(self, data: np.ndarray, offsets: np.ndarray):
-        """For each row: ids as decimal bytes of its chunks, their number, decoded bytes."""
-        lo, hi, counts = chunk_ranges(data, offsets)
-        # whether the chunk opens its text: only there the model adds a mark
-        opens = np.zeros(len(lo), bool)
-        opens[counts[:-1][np.diff(counts) > 0]] = True
-        keys = RangeHash(data)(lo, hi) ^ np.where(opens, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.seen) > ROOM:
-            self.seen.clear()
-        seen, raw = self.seen, data.tobytes()
-        new = [(k, i) for k, i in zip(distinct.tolist(), at.tolist()) if k not in seen]
-        if new:
-            texts = []
-            for _, i in new:
-                t = raw[lo[i] : hi[i]].decode("utf-8")
-                # the library adds one mark in front; a chunk inside a text brings its own
-                texts.append(t if opens[i] else t[1:])
-            ids = self.model.encode(texts, num_threads=1)
-            decoded = self.model.decode(ids, num_threads=1)
-            for (k, i), own, text, source in zip(new, ids, decoded, texts):
-                if source == "":  # a mark alone, not added by the library for empty input
-                    own, text = [self.model.piece_to_id("▁")], ""
-                seen[k] = (len(own), " ".join(map(str, own)).encode(), (text if opens[i] else " " + text).encode())
-        table = [seen[k] for k in distinct.tolist()]
-        sizes = np.fromiter((t[0] for t in table), np.int64, len(table))[back] if len(table) else np.zeros(0, np.int64)
-        upto = np.concatenate(([0], np.cumsum(sizes)))
-        back = back.tolist()
-        for a, b in zip(counts[:-1].tolist(), counts[1:].tolist()):
-            own = [table[j] for j in back[a:b]]
-            yield int(upto[b] - upto[a]), [t[1] for t in own], b"".join([t[2] for t in own])
-
-
-def _encode(model: Callable[[], str] | str, digest: bool):
     def run(batches):
-        table = ChunkTable(model() if callable(model) else model)
-        end = str(table.end).encode()
+        table = ChunkTable(model() if callable(model) else model, digest, room)
         for batch in batches:
-            n, first, second = [], [], []
-            for _, data, offsets in slices(batch.column(batch.schema.get_field_index("__text"))):
-                for size, ids, text in table.rows(data, offsets):
-                    ids.append(end)
-                    n.append(size + 1)
-                    if digest:
-                        first.append(hashlib.sha256(b" ".join(ids)).hexdigest())
-                        second.append(hashlib.sha256(text).hexdigest())
-                    else:
-                        first.append(np.fromiter(chain.from_iterable(map(int, x.split()) for x in ids), np.int32))
-                        second.append(text.decode("utf-8"))
-            kind = pa.string() if digest else pa.list_(pa.int32())
-            cols = [pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())]
-            rest = batch.drop_columns(["__text"])
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([*rest.columns, *cols], names=[*rest.schema.names, *names])
+            row, text = batch.column(0), batch.column(1)
+            at = 0
+            while at < batch.num_rows:
+                part, size = [], 0
+                while at + len(part) < batch.num_rows and (not part or size < SLICE):
+                    part.append(text[at + len(part)].as_py())
+                    size += len(part[-1])
+                n, ids, decoded = zip(*table.rows(part))
+                if digest:
+                    ids, decoded = [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
+                else:
+                    ids = [np.frombuffer(x, np.int32) for x in ids]
+                cols = [pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([row.slice(at, len(part)), *cols], names=["row", *names])
+                at += len(part)
 
     return run
 
 
-def encode(df: DataFrame, model: Callable[[], str] | str, text: str = "text", keep: list[str] | None = None, digest: bool = False) -> DataFrame:
+def encode(df: DataFrame, model: Callable[[], str] | str, text: str = "text", keep: list[str] | None = None, digest: bool = False, room: int = ROOM) -> DataFrame:
     """Add n_tokens, ids (closed by the end id) and decoded text, or their SHA-256 with ``digest``.
 
     ``model`` is the path of the model file, or a function that gives it on the executor. A null
     text counts as empty: the end id alone. Every row is encoded on its own, whole, whatever its
-    length; memory is that of a slice of the batch, the longest text and a table of ROOM chunks.
+    length; memory is that of a slice of the batch, the longest text and a table of about ``room`` bytes,
+    which changes no result. Repeated rows give repeated results.
     """
     keep = df.columns if keep is None else keep
-    slim = df.select(*[F.col(f"`{c}`") for c in keep], text_of(df, text).alias("__text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema[:-1])
+    # other columns travel as one struct, whatever their names
+    slim = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(df, text).alias("text"))
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids array<int>, decoded string"
-    return slim.mapInArrow(_encode(model, digest), kept + out)
+    found = slim.mapInArrow(_encode(model, digest, room), fields([slim.schema["row"]], out))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *found.columns[1:])
 
 
 def public_model() -> str:
