@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm.conftest import sentence
 from tablefit.llm import fingerprints, jaccard, katz, language, mixing, pieces, repeats, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -291,6 +292,100 @@ def test_language_ranks(spark):
     assert out == {0: "en", 1: "fr", 2: "fr", 3: "en"}
 
 
+def test_language_is_the_brute_force_one(spark):
+    """Predictions and scores in scripts with thousands of letters, with ties and odd characters."""
+    import random
+
+    rng = random.Random(4)
+    han, kana = [chr(0x4E00 + rng.randrange(3000)) for _ in range(400)], [chr(0x3041 + i) for i in range(80)]
+    make = {
+        "en": lambda n: sentence(rng, n // 5 + 1, "etaoinshrdlu"), "zh": lambda n: "".join(rng.choice(han) for _ in range(n)),
+        "ja": lambda n: "".join(rng.choice(kana + han[:40]) for _ in range(n)), "none": lambda n: "123 ...",
+    }
+    rows = [(i, make[lang](rng.choice([3, 40, 900])), lang, None) for i, lang in enumerate([*make] * 12)]
+    rows += [(900 + i, t, None, None) for i, t in enumerate(["İstanbul ı ẞ", "日本語 and English", "", None, "!!!", "a", "テスト" * 50, han[0] * 3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    ranks = 50
+    counts, grams = brute_language([], ranks)
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], len(x[0]), [0 if ch == "_" else ord(ch) for ch in x[0]]))[:ranks]]
+    profiles = {}
+    for lang in make:
+        whole = Counter()
+        for r in rows:
+            if r[2] == lang:
+                whole += grams(r[1])
+        profiles[lang] = {g: i for i, g in enumerate(order(whole))}
+    want = {}
+    for r in rows:
+        own = order(grams(r[1] or ""))
+        far = {lang: sum(abs(p[g] - i) if g in p else ranks for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want[r[0]] = (best, 1 - far[best] / (ranks * len(own))) if own else ("und", 0.0)
+    learned = language.train(df, ranks=ranks)
+    assert {k: len(v) for k, v in learned.ranked.items()} == {k: len(v) for k, v in profiles.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(df.select("doc_id", "text"), learned).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    right = [r for r in rows if r[2] in ("en", "zh", "ja") and len(r[1]) > 20]
+    assert all(got[r[0]][0] == r[2] for r in right)
+
+
+def test_language_of_two_hundred(spark):
+    """Two hundred languages: the places of all their n-grams stay small."""
+    rows = [(i, "".join(chr(0x4E00 + 97 * i % 20000 + j) for j in range(60)), f"l{i:03}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.predict(df.select("doc_id", "text"), language.train(df)).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in got)
+
+
+def test_language_merges_in_parts(rows):
+    """Counts handed on in several parts add up to those made at once."""
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([r[1] for r in rows]), pa.array(["x"] * len(rows))], ["text", "lang"])
+
+    def total():
+        out = Counter()
+        for part in language._gram_counts([batch, batch]):
+            for g, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                out[g] += n
+        return out
+
+    whole, held = total(), language.HELD
+    try:
+        language.HELD = 50
+        assert total() == whole
+    finally:
+        language.HELD = held
+
+
+def odd_columns(docs):
+    """Names that are no plain words, a map and a struct."""
+    return docs.select("*", F.lit(1).alias("my col-x"), F.create_map(F.lit("k"), F.col("doc_id")).alias("m"), F.struct(F.lit("a").alias("b c")).alias("s.t"))
+
+
+def test_stages_take_odd_columns(spark, docs):
+    odd = odd_columns(docs.where("text is not null"))
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeats, corpus_pipeline.mix_sources):
+        kept = stage(spark, odd, "")
+        assert kept.columns == odd.columns and kept.count() > 0
+    encoded = pieces.encode(odd, pieces.public_model())
+    assert encoded.columns == [*odd.columns, "n_tokens", "ids", "decoded"] and encoded.count() == odd.count()
+
+
+def test_pieces_in_a_small_room(docs, rows):
+    """A table that starts afresh after every slice changes no result."""
+    small = pieces.encode(docs, pieces.public_model(), keep=["doc_id"], digest=True, room=1)
+    assert table(small, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == table(pieces.encoded_documents(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def test_taken_names_are_refused(docs):
+    clash = docs.withColumn("__text", F.lit("x"))
+    with pytest.raises(ValueError):
+        language.predict(clash, language.Profiles({}, 5))
+    assert pieces.encode(clash, pieces.public_model()).select("__text").distinct().count() == 1
+
+
 def test_language_stage_rejects_other_latin_texts(spark):
     """Random letters, base64 and languages without labels go; clean texts of any length stay."""
     import base64
