@@ -12,6 +12,7 @@ from tablefit.operators import issues as I
 from tablefit.operators import scoring as SC
 from tablefit.operators import training as TR
 from tablefit.operators.facts import small_table
+from tablefit.sources.tables import settle
 
 REG = Registry()
 
@@ -106,6 +107,15 @@ REG.add(
         for n in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey")) + f") SELECT feature, {r4('f')} AS f_statistic FROM f ORDER BY f DESC LIMIT 3",
 )
 REG.add("search_documents", lambda spark, sf: TR.search(read(spark, sf, _docs), "quality", ["doc_id"]))
+def choices_of_search(spark, sf):
+    """Average score by scaler, log and model over the real search."""
+    found = settle(TR.search(read(spark, sf, _docs), "quality", ["doc_id"]).where("not is_ensemble"))
+    return SC.choice_impact(found, "scaler").unionByName(SC.choice_impact(found, "log_transform")).unionByName(SC.choice_impact(found, "model"))
+
+
+REG.add("search_choices_documents", choices_of_search)
+REG.add("train_importances_documents", lambda spark, sf: TR.train_importances(read(spark, sf, _docs), "quality", ["doc_id"]))
+REG.add("compare_models_orders", lambda spark, sf: TR.compare_models(read(spark, sf, "orders_nulls"), read(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"]))
 REG.add("ensembles_documents", lambda spark, sf: TR.ensembles(read(spark, sf, _docs), "quality", ["doc_id"]))
 REG.add("ensembles_part", lambda spark, sf: TR.ensembles(read(spark, sf, "part"), "p_retailprice", ["p_partkey"]))
 REG.add("fix_impact_orders", lambda spark, sf: TR.fix_impact(read(spark, sf, "orders_dirty"), "o_orderstatus", ["o_orderkey"]))

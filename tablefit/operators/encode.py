@@ -11,7 +11,9 @@ from tablefit.functions.exprs import c
 from tablefit.functions.ranks import attach_values, when_map
 from tablefit.operators.clean import replace
 from tablefit.operators.facts import as_facts
+from tablefit.sources.tables import settle
 
+MOST_COLUMNS = 1000   # one-hot columns made of one column
 LITERAL_VALUES = 64   # value sets up to this size are written into the plan as literals
 SORT_IN_ONE = 100_000  # distinct values one task may number
 
@@ -42,12 +44,16 @@ def value_codes(values: DataFrame) -> DataFrame:
 
 
 def apply_lookup(df: DataFrame, name: str, text, lookup: DataFrame, default, rows: int | None = None) -> DataFrame:
-    """Replace a column by ``code`` of a (value, cnt, code) lookup; unseen values get the default."""
+    """Replace a column by ``code`` of a (value, cnt, code) lookup; unseen values get the default.
+
+    A few values become a CASE expression. A larger lookup is settled, because its size, its row count and
+    its join would each count the values again."""
     small = lookup.limit(LITERAL_VALUES + 1).collect()
     if len(small) <= LITERAL_VALUES:
         table = {r["value"]: r["code"] for r in small}
         return replace(df, {name: when_map(text, table, default)})
-    rows = rows if rows is not None else df.count()
+    lookup = settle(lookup.select("value", "cnt", "code"))
+    rows = rows if rows is not None else lookup.agg(F.sum("cnt")).first()[0] or 0
     renamed = lookup.select(F.col("value").alias("__v"), "cnt", F.col("code").alias("__code"))
     joined = attach_values(df.withColumn("__v", text), renamed, "__v", "cnt", rows)
     return joined.select(*[F.coalesce(F.col("__code"), F.lit(default)).alias(n) if n == name else c(n) for n in df.columns])
@@ -60,17 +66,24 @@ def encode_binary(df: DataFrame, name: str) -> DataFrame:
     return replace(df, {name: F.when(text == F.lit(high), 1).otherwise(0)})
 
 
-def categories(df: DataFrame, name: str) -> list[str]:
-    """Sorted categories; one column is made of each, so the caller picks columns with few."""
-    return sorted(r["value"] for r in counted(df, as_text(name)).select("value").collect())
+def categories(df: DataFrame, name: str, most: int = MOST_COLUMNS) -> list[str] | None:
+    """Sorted categories, one column each; None where there are more than ``most``, which are not read."""
+    seen = counted(df, as_text(name)).select("value").limit(most + 1).collect()
+    return sorted(r["value"] for r in seen) if len(seen) <= most else None
 
 
-def one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
-    """0/1 columns named col_value for all but the first sorted category; originals are dropped."""
-    extra = []
+def one_hot(df: DataFrame, cols: list[str], most: int = MOST_COLUMNS) -> DataFrame:
+    """0/1 columns named col_value for all but the first sorted category; originals are dropped. A column
+    with more than ``most`` categories gets their frequency share in place of columns."""
+    extra, gone = [], []
     for name in cols:
-        extra += [F.coalesce((as_text(name) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{name}_{v}") for v in categories(df, name)[1:]]
-    return df.select(*[c(n) for n in df.columns if n not in cols], *extra)
+        values = categories(df, name, most)
+        if values is None:
+            df = encode_freq(df, name)
+        else:
+            gone.append(name)
+            extra += [F.coalesce((as_text(name) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{name}_{v}") for v in values[1:]]
+    return df.select(*[c(n) for n in df.columns if n not in gone], *extra)
 
 
 def encode_freq_rank(df: DataFrame, name: str) -> DataFrame:

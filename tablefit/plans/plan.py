@@ -150,8 +150,14 @@ def fit_plan(df, plan: Plan) -> Fitted:
     for n, h in plan.of("encode").items():
         if n not in filled.columns:
             continue
-        if h == "OneHotEncoding":
-            hot.append((n, "onehot", h, {"values": categories(filled, n)}))
+        values = categories(filled, n) if h == "OneHotEncoding" else None
+        if values is not None:
+            hot.append((n, "onehot", h, {"values": values}))
+        elif h == "OneHotEncoding":  # more categories than columns may be made of
+            shares = counted(filled, as_text(n, "nan"))
+            total = shares.agg(F.sum("cnt")).first()[0] or 1
+            lookups[n] = shares.withColumn("code", F.col("cnt") / F.lit(float(total)))
+            steps.append((n, "lookup", "FrequencyEncoding", {"instead_of": h}))
         else:
             lookups[n] = value_codes(counted(filled, as_text(n, "nan")))
             steps.append((n, "lookup", h, {}))
