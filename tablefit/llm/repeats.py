@@ -34,6 +34,7 @@ from tablefit.llm.common import fields, need, settle, text_key, text_of
 from tablefit.llm.flat import RangeHash, mix, pair, slices
 
 LENGTH = 400
+HOT, SALTS = 1000, 64
 LOCAL = 10_000  # at 201 strings a class and 48 bytes a string, about 100 MB in a task
 
 
@@ -206,6 +207,18 @@ def _collapse(length: int):
     return run
 
 
+def _even_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, by: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with a settled ``table`` of one row per key and the key's number of rows.
+
+    Keys with more than 1/HOT of all these rows (so fewer than HOT of them, which are broadcast) are dealt
+    over SALTS partitions by the columns ``by``; the rows are read once."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = table.where(F.col(count) > total // HOT).select(*on).withColumn("__hot", F.lit(True))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__hot")
+    salts = F.when(F.col(count) > total // HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(table.withColumn("__salt", F.explode(salts)), [*on, "__salt"]).drop("__salt")
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, local: int = LOCAL) -> DataFrame:
     """(__a, __b, spans): for every text, named by ``text_key``, the unmerged byte ranges that are covered by a repeated
     string of ``length`` bytes. Texts without one have no row."""
@@ -218,8 +231,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, lo
     cols = "__i long, __a long, __b long, k long, c long, at long, before long, after long"
     positions = slim.mapInArrow(_positions(length), cols)
     # round 1: unique ranks drop out; counts are summed before the shuffle, no rank is gathered
-    often = positions.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    kept = settle(positions.join(often, "k"))
+    often = settle(positions.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    kept = settle(_even_join(positions, often, ["k"], "n", ["__i", "__a", "at"]).drop("n"))
     # round 2: pairs (rank, context) are the classes
     classes = kept.groupBy("k", "c").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("__i", "__a", "__b", "at")).alias("m"), F.first("before").alias("before"), F.first("after").alias("after")
@@ -244,7 +257,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, lo
     # a class with two members repeats over its whole context already
     rest = near.unionByName(far).join(done.select("k", "c"), ["k", "c"], "left_anti")
     spans = done.unionByName(rest.where(F.size("spans") > 0))
-    placed = kept.select("__a", "__b", "at", "k", "c").distinct().join(spans, ["k", "c"])
+    sized = settle(spans.join(classes.select("k", "c", "n"), ["k", "c"]))
+    placed = _even_join(kept.select("__a", "__b", "at", "k", "c").distinct(), sized, ["k", "c"], "n", ["__a", "at"])
     moved = F.transform("spans", lambda s: F.struct((s["lo"] + F.col("at")).alias("lo"), (s["hi"] + F.col("at")).alias("hi")))
     return placed.select("__a", "__b", moved.alias("s")).groupBy("__a", "__b").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
