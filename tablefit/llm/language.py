@@ -22,7 +22,7 @@ from tablefit.llm.flat import slices
 
 RANKS = 300
 POINTS = 0x110000  # code points
-HELD = 1_000_000  # different n-grams that a task merges before it hands them on
+HELD = 250_000  # different n-grams that a task merges before it hands them on
 LOW, STEPS = 0.01, 1000  # the quantile of clean scores that a least score is set by, in steps of 1/STEPS
 PREFIXES = [2**k for k in range(3, 12)]  # characters; their scores say what short texts reach
 MARGIN = 2  # how many times the gap from the median to that quantile lies below it
