@@ -141,7 +141,7 @@ def document_masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     flags = labels.groupBy("doc_id").agg(flag("quality").alias("is_good"), flag("toxic").alias("is_toxic")).where("is_good + is_toxic > 0")
     sizes = cells.where("doc_id is not null").groupBy("doc_id").agg(F.sum("n").alias("rows"))
     rows = cells.agg(F.sum("n")).first()[0] or 0
-    marked = attach_values(named, settle(flags.join(sizes, "doc_id")), "doc_id", "rows", rows)
+    marked = attach_values(named, settle(flags.join(sizes, "doc_id")), "doc_id", "rows", rows, small=10_000)
     both = marked.select("part", "mask", "n", "is_good", "is_toxic").unionByName(unnamed.select("part", "mask", "n", F.lit(0).alias("is_good"), F.lit(0).alias("is_toxic")))
     share = lambda x: F.coalesce(F.sum(F.col("n") * F.col(x)), F.lit(0))
     return both.groupBy("part", "mask").agg(F.sum("n").alias("n"), share("is_good").alias("good"), share("is_toxic").alias("toxic"))
