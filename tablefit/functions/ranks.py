@@ -22,7 +22,8 @@ from tablefit.functions.exprs import c, hash_key, long_numbers
 SKETCH_ACCURACY = 5000   # rank error of the bracket sketch is n / accuracy
 BRACKET_LIMIT = 100_000  # values of one bracket that one task may sort
 COLUMNS_PER_SCAN = 25    # keeps the wide aggregates within what code generation can take
-RANGE_BUCKETS = 32
+RANGE_BUCKETS, MOST_BUCKETS = 32, 1024  # value ranges of a running total
+BUCKET_ROWS = 1_000_000  # counted values that one task sorts, as long as MOST_BUCKETS ranges are enough
 
 
 def _chunks(items: list, size: int) -> list[list]:
@@ -248,17 +249,22 @@ def running_total(
     order: str,
     values: list[str],
     edge_group: list[str] | None = None,
-    buckets: int = RANGE_BUCKETS,
+    buckets: int | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add ``<value>_upto`` columns: totals of all rows of the group whose ``order`` is not larger.
 
     ``counted`` should hold each (group, order) once, so that a hot value is a single row.
     ``edge_group`` are the columns bucket edges are taken for (few distinct keys: the edge table
-    is broadcast and holds that number times ``buckets`` numbers); the default is ``group``.
+    is broadcast and holds at most that number times MOST_BUCKETS numbers); the default is ``group``.
+    The number of buckets, if not given, follows the rows counted with the edges: about ``bucket_rows``
+    in each, at least RANGE_BUCKETS.
     """
     edge_group = group if edge_group is None else edge_group
-    probs = [(k + 1) / buckets for k in range(buckets - 1)]
-    cut = F.percentile_approx(F.col(order).cast("double"), probs, 10 * buckets).alias("__edges")
+    every = F.percentile_approx(F.col(order).cast("double"), [(k + 1) / MOST_BUCKETS for k in range(MOST_BUCKETS - 1)], 10 * MOST_BUCKETS)
+    wanted = F.lit(buckets) if buckets else F.least(F.greatest(F.ceil(F.count(F.lit(1)) / bucket_rows), F.lit(RANGE_BUCKETS)), F.lit(MOST_BUCKETS))
+    step = F.floor(F.lit(MOST_BUCKETS) / wanted).cast("int")
+    cut = F.filter(every, lambda _, k: (k + 1) % step == 0).alias("__edges")
     if edge_group:
         edges = counted.groupBy(*edge_group).agg(cut)
         placed = counted.join(F.broadcast(edges), edge_group)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablefit.functions.exprs import band, c, long_numbers, normal_cdf, ratio, rounded, tidy
 from tablefit.functions.names import TYPE_ID
 from tablefit.functions.pvalues import kolmogorov_sf
-from tablefit.functions.ranks import count_values, running_total, when_map
+from tablefit.functions.ranks import BUCKET_ROWS, MOST_BUCKETS, count_values, running_total, when_map
 from tablefit.operators.facts import Facts, as_facts, small_table, top_values
 
 
@@ -231,7 +231,8 @@ def monotonic_columns(df, order_by: str) -> list[str]:
     """
     f = as_facts(df)
     cols = [n for n in f.numeric]
-    edges = f.df.select(F.percentile_approx(c(order_by).cast("double"), [k / 64 for k in range(1, 64)], 1000)).first()[0]
+    parts = max(64, min(MOST_BUCKETS, f.rows // BUCKET_ROWS))
+    edges = f.df.select(F.percentile_approx(c(order_by).cast("double"), [k / parts for k in range(1, parts)], 16 * parts)).first()[0]
     literal = F.array(*[F.lit(e) for e in sorted(set(edges))])
     placed = f.df.withColumn("__b", F.size(F.filter(literal, lambda e: e < c(order_by).cast("double"))))
     inside = W.partitionBy("__b").orderBy(c(order_by))

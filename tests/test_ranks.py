@@ -86,3 +86,15 @@ def test_kendall_and_spearman(spark, frame):
     assert kendall(clean, "x", "z") == pytest.approx(brute_tau(pair["x"].values, pair["z"].values), abs=1e-12)
     rho = spearman(clean, [("x", "z")])[("x", "z")]
     assert rho == pytest.approx(pair["x"].rank().corr(pair["z"].rank()), abs=1e-9)
+
+
+def test_running_total_ranges_follow_the_rows(spark):
+    """Many small ranges and few large ones give the same totals."""
+    df = spark.range(3000).select((F.col("id") * 7 % 3001).cast("double").alias("v"), (F.col("id") % 5).alias("n"), (F.col("id") % 2).alias("g"))
+    few = running_total(df, ["g"], "v", ["n"]).orderBy("g", "v").collect()
+    many = running_total(df, ["g"], "v", ["n"], bucket_rows=5).orderBy("g", "v").collect()
+    assert few == many and len(few) == 3000
+    total = {0: 0, 1: 0}
+    for r in few:
+        total[r["g"]] += r["n"]
+        assert r["n_upto"] == total[r["g"]]
