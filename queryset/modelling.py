@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queryset.base import Registry, r4, read, src
+from queryset.preparing import iqr_filter_sql
 from tablefit.functions.exprs import rounded
 from tablefit.operators import anomaly as A
 from tablefit.operators import cluster as K
@@ -120,6 +121,15 @@ REG.add("ensembles_documents", lambda spark, sf: TR.ensembles(read(spark, sf, _d
 REG.add("ensembles_part", lambda spark, sf: TR.ensembles(read(spark, sf, "part"), "p_retailprice", ["p_partkey"]))
 REG.add("fix_impact_orders", lambda spark, sf: TR.fix_impact(read(spark, sf, "orders_dirty"), "o_orderstatus", ["o_orderkey"]))
 REG.add("apply_fixes_documents", lambda spark, sf: TR.apply_fixes(read(spark, sf, _docs), "quality", ["doc_id"], outliers=True, correlated=True, balance=True))
+_feat = ["n_chars", "spaces", "toxic"]
+REG.add(
+    "fix_sizes_documents", lambda spark, sf: TR.fix_sizes(read(spark, sf, _docs), "quality", ["doc_id"], outliers=True, correlated=True, balance=True),
+    f"WITH kept AS ({iqr_filter_sql(_docs, 'quality')}), k AS (SELECT quality, count(*) AS c FROM kept WHERE quality IS NOT NULL GROUP BY 1), "
+    "gone AS (SELECT DISTINCT b FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS b FROM kept HAVING abs(CASE WHEN isfinite(corr({a}, {b})) THEN corr({a}, {b}) END) > 0.85" for i, a in enumerate(_feat) for b in _feat[i + 1:]) + ")) "
+    f"SELECT (SELECT count(*) FROM {src(_docs)}) AS rows_before, CAST(max(c) * count(*) AS BIGINT) AS rows_after, CAST(7 AS BIGINT) AS columns_before, 7 - (SELECT count(*) FROM gone) AS columns_after FROM k",
+)
+REG.add("fold_stability_documents", lambda spark, sf: TR.fold_stability(read(spark, sf, _docs), "quality", ["doc_id"]))
+REG.add("overfit_risk_documents", lambda spark, sf: SC.overall_risk(TR.overfit(read(spark, sf, _docs), "quality", ["doc_id"])))
 REG.add("clean_gain_part", lambda spark, sf: TR.clean_gain(read(spark, sf, "part"), "p_type", ["p_partkey"]))
 REG.add("mlp_documents", lambda spark, sf: TR.mlp(read(spark, sf, _docs), "quality", ["doc_id"]))
 REG.add("attribution_documents", lambda spark, sf: TR.attribution(read(spark, sf, _docs), "quality", ["doc_id"]).summary())

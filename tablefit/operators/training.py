@@ -425,26 +425,45 @@ def fix_impact(df: DataFrame, target: str, key: list[str], trees: int = 40) -> D
     return SC.step_deltas(small_table(f.spark, [(i, n, float(s)) for i, n, s in rows], [("step", "int"), ("fix", "string"), ("score", "double")]))
 
 
-def apply_fixes(df: DataFrame, target: str, key: list[str], outliers: bool = False, correlated: bool = False, balance: bool = False, trees: int = 50) -> DataFrame:
-    """Score before and after the chosen fixes, with row and column counts."""
-    f = Facts(df)
-    task = task_of(f, target)
+def fixed_table(f: Facts, target: str, key: list[str], outliers: bool = False, correlated: bool = False, balance: bool = False) -> DataFrame:
+    """The table after the chosen fixes: rows beyond the fences out, the later of two correlated columns out,
+    classes brought to the size of the largest. Keys are no features."""
     now = f.df
     if outliers:
-        kept = C.drop_iqr_outliers(f, target)
-        now = kept
+        now = C.drop_iqr_outliers(f, target)
     if correlated:
         features = Facts(now.drop(*key))
         gone = set(features.columns) - set(C.drop_correlated(features, target=target).columns)
         now = now.drop(*gone)
-    if balance and task == "classification":
+    if balance and task_of(f, target) == "classification":
         now = C.oversample(now, target, key)
-    now = settle(now)
+    return now
+
+
+def fix_sizes(df: DataFrame, target: str, key: list[str], outliers: bool = False, correlated: bool = False, balance: bool = False) -> DataFrame:
+    """Rows and columns before and after the chosen fixes; no model is fitted."""
+    f = Facts(df)
+    now = fixed_table(f, target, key, outliers, correlated, balance)
+    row = (f.rows, now.count(), len(f.columns), len(now.columns))
+    return small_table(f.spark, [row], [(n, "bigint") for n in ("rows_before", "rows_after", "columns_before", "columns_after")])
+
+
+def apply_fixes(df: DataFrame, target: str, key: list[str], outliers: bool = False, correlated: bool = False, balance: bool = False, trees: int = 50) -> DataFrame:
+    """Score before and after the chosen fixes, with row and column counts."""
+    f = Facts(df)
+    task = task_of(f, target)
+    now = settle(fixed_table(f, target, key, outliers, correlated, balance))
     row = (quick_score(f.df, target, key, task, trees), quick_score(now, target, key, task, trees), f.rows, now.count(), len(f.columns), len(now.columns))
     t = small_table(f.spark, [row], [("before", "double"), ("after", "double"), ("rows_before", "bigint"), ("rows_after", "bigint"), ("columns_before", "bigint"), ("columns_after", "bigint")])
     return t.select(rounded(F.col("before")).alias("baseline_score"), rounded(F.col("after")).alias("final_score"), rounded(F.col("after") - F.col("before")).alias("improvement"), "rows_before", "rows_after", "columns_before", "columns_after")
 
 
+def fold_stability(df, target: str, key: list[str], trees: int = 80, folds: int | None = None, rules: str = "simple") -> DataFrame:
+    """Spread of the fold scores of every model of the catalogue, its band and the worst fold."""
+    frame = Frame(df, target, key, folds=folds)
+    return SC.cv_stability(fold_scores(frame, catalogue(frame, trees)).select("model", "fold", "score"), rules)
+
+
 def clean_gain(df: DataFrame, target: str, key: list[str], trees: int = 40) -> DataFrame:
     """Forest score on the raw table and on its ``to_ml`` version."""
     f = Facts(df)
