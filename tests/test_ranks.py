@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablefit.functions.ranks import attach_values, average_rank, exact_quantiles, hash_row_number, running_total
+from tablefit.functions.ranks import attach_values, average_rank, distinct_counts, exact_quantiles, hash_row_number, running_total
 from tablefit.operators.encode import value_codes
 from tablefit.operators.relate import kendall, spearman
 
@@ -98,3 +98,13 @@ def test_running_total_ranges_follow_the_rows(spark):
     for r in few:
         total[r["g"]] += r["n"]
         assert r["n_upto"] == total[r["g"]]
+
+
+def test_distinct_counts_in_several_passes(spark):
+    df = spark.range(3000).select(
+        "id", (F.col("id") % 9).cast("int").alias("a.b"), (F.col("id") % 700 / 7).alias("d"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("x" * 70), F.col("id") % 500)).alias("t"),
+        (F.col("id") % 2 == 0).alias("f"), F.lit(None).cast("double").alias("none"), F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(0.0).alias("zero"))
+    want = {"id": 3000, "a.b": 9, "d": 700, "t": 500, "f": 2, "none": 0, "zero": 1}
+    for together in (1, 600, 1_000_000):
+        assert distinct_counts(df, df.columns, 64, together) == want
+    assert distinct_counts(df, [], 64) == {}
