@@ -57,6 +57,16 @@ def test_importances_and_winner(table):
     assert r["winner"] == "table_2" and r["delta"] > 0
 
 
+def test_quick_score_fits_folds_once_and_scores_held_out_rows(table, monkeypatch):
+    data = table.select("id", "a", "b", "z")
+    frame = TR.Frame(data, "z", ["id"], "regression", folds=3)
+    every = TR.fold_scores(frame, {"Random Forest": TR.catalogue(frame, 5)["Random Forest"]}).agg({"score": "avg"}).first()[0]
+    scored, keep = [], TR.Frame.score
+    monkeypatch.setattr(TR.Frame, "score", lambda self, pred: scored.append(pred.select("fold").distinct().count()) or keep(self, pred))
+    assert TR.quick_score(data, "z", ["id"], "regression", 5) == pytest.approx(every, abs=1e-12)
+    assert scored == [1, 1, 1]
+
+
 def test_too_many_categories_for_columns(spark):
     df = spark.range(60).select(F.col("id"), (F.col("id") % 20).cast("string").alias("many"), F.when(F.col("id") % 3 > 0, "x").otherwise("y").alias("few"))
     out = E.one_hot(df, ["many", "few"], most=10)
