@@ -144,3 +144,17 @@ def test_importance_finds_the_signal(table):
     assert t["f0"]["permutation"] > t["f3"]["permutation"] and t["f0"]["tier"] == "HIGH" and t["f0"]["permutation_std"] >= 0
     constant = table.select("id", F.lit(1.0).alias("same"), *COLS)
     assert TR.importance(constant, "same", ["id"], repeats=1, trees=2).count() == 4
+
+
+def test_values_by_tables_and_cells(table):
+    """Tables of met features and one evaluation per cell give what every row by itself gives."""
+    x = np.array([[r[c] for c in COLS] for r in table.select(*COLS).collect()])
+    x[3, 1], x[4, 2], x[5, 0] = np.nan, np.inf, -np.inf
+    for label in ("y", "three"):
+        flat = FlatForest.of(fitted(table, label, 6), 4)
+        alone = np.concatenate([flat.attribute(x[i : i + 1]) for i in range(len(x))])
+        assert np.allclose(flat.attribute(x), alone, atol=1e-12)
+        first, cell = flat.cells(x)
+        assert np.allclose(flat.attribute(x[first])[cell], alone, atol=1e-12) and np.array_equal(flat.predict(x[first])[cell], flat.predict(x))
+        twice = np.tile(x, (3, 1))
+        assert len(flat.cells(twice)[0]) == len(first)
