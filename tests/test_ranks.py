@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablefit.functions.ranks import attach_values, average_rank, distinct_counts, exact_quantiles, hash_row_number, running_total
 from tablefit.operators.encode import value_codes
-from tablefit.operators.relate import kendall, spearman
+from tablefit.operators.relate import _discordant, kendall, spearman
 
 
 @pytest.fixture(scope="module")
@@ -100,6 +100,18 @@ def test_running_total_ranges_follow_the_rows(spark):
         assert r["n_upto"] == total[r["g"]]
 
 
+@pytest.mark.parametrize("cell_rows", [500_000, 100, 7])
+def test_discordant_cells_by_ranges(spark, cell_rows):
+    """Hot values, ties and weights; no range gathers a value that is a cut."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 60, 900).astype(float), rng.normal(size=900).round(1)
+    x[:300], y[200:500] = 7.0, 0.5
+    cells = pd.DataFrame({"x": x, "y": y}).groupby(["x", "y"]).size().rename("cnt").reset_index()
+    x, y, n = (cells[k].to_numpy() for k in ("x", "y", "cnt"))
+    want = int((((x[:, None] < x) & (y[:, None] > y)) * n[:, None] * n).sum())
+    assert _discordant(spark.createDataFrame(cells).repartition(3), cell_rows) == want
+
+
 def test_distinct_counts_in_several_passes(spark):
     df = spark.range(3000).select(
         "id", (F.col("id") % 9).cast("int").alias("a.b"), (F.col("id") % 700 / 7).alias("d"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("x" * 70), F.col("id") % 500)).alias("t"),
