@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablefit.functions.ranks import attach_values, average_rank, distinct_counts, exact_quantiles, hash_row_number, running_total
-from tablefit.operators.encode import value_codes
+from tablefit.operators.encode import encode_label, value_codes
 from tablefit.operators.relate import _discordant, kendall, spearman
 
 
@@ -120,3 +120,17 @@ def test_distinct_counts_in_several_passes(spark):
     for together in (1, 600, 1_000_000):
         assert distinct_counts(df, df.columns, 64, together) == want
     assert distinct_counts(df, [], 64) == {}
+
+
+def test_encode_label_stores_many_values_once(spark, monkeypatch):
+    import tablefit.operators.encode as enc
+
+    df = spark.range(900).select("id", F.when(F.col("id") % 10 > 0, F.concat(F.lit("n"), (F.col("id") % 400))).alias("t"), (F.col("id") + 1).alias("k"))
+    want = encode_label(df, "t").orderBy("id").collect()
+    stored = []
+    keep = enc.settle
+    monkeypatch.setattr(enc, "settle", lambda d: stored.append(d.columns) or keep(d))
+    monkeypatch.setattr(enc, "SORT_IN_ONE", 50)
+    out = encode_label(df, "t")
+    assert out.columns == ["id", "t", "k"] and out.orderBy("id").collect() == want
+    assert stored == [["value", "cnt"], ["value", "cnt", "code"]]
