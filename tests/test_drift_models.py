@@ -157,6 +157,21 @@ def test_scores_of_a_table_that_claims_to_be_huge(planted):
         AN.isolation_scores(f, ["id"], trees=5)
 
 
+def test_full_trees_score_as_a_walk_down_the_nodes():
+    rng = np.random.default_rng(2)
+    for rows in (1, 2, 40):
+        nodes = AN._grow(3, 5)(pd.DataFrame(rng.normal(size=(rows, 3)).round(1), columns=["f0", "f1", "f2"]).assign(tree=0))
+        feature, cut, length, levels = AN._full_tree(nodes)
+        by = {r.node: r for r in nodes.itertuples()}
+        for row in [*rng.normal(size=(60, 3)).round(1), np.array([np.inf, -np.inf, 0.0])]:
+            node = depth = at = 0
+            while by[node].feature >= 0:
+                node, depth = 2 * node + 1 + int(row[by[node].feature] >= by[node].cut), depth + 1
+            for _ in range(levels):
+                at = 2 * at + 1 + int(row[feature[at]] >= cut[at])
+            assert length[at] == depth + AN._average_path(by[node].size)
+
+
 def test_column_of_another_kind_is_a_mismatch(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "n int, t string"), spark.createDataFrame([("k", "x"), ("l", "x")], "n string, t string")
     rows = {r["column"]: r for r in D.drift_columns(a, b).collect()}
