@@ -1,5 +1,8 @@
 """The whole model search, importances and comparison of tables."""
 
+import threading
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -49,6 +52,27 @@ def test_search_of_numbers(table):
     assert len(found) == 41 and set(found["model"]) == {"Ridge_low", "Ridge_high", "RF_shallow", "RF_deep", "GB", "Voting Ensemble"}
 
 
+def test_folds_of_all_models_run_side_by_side(spark):
+    meet = threading.Barrier(4, timeout=60)  # broken unless four fits run at once
+
+    class Fake:
+        copy = lambda self: Fake()
+        hasParam = lambda self, name: False
+
+        def fit(self, data):
+            meet.wait()
+            self.rows = data.count()
+            return self
+
+        def transform(self, data):
+            return data.count() + self.rows / 1000
+
+    data = spark.range(40).select("id", (F.col("id") % 2).cast("int").alias("fold"))
+    frame = SimpleNamespace(k=2, vectors=data, data=data, score=float)
+    got = TR.fold_scores(frame, {"one": Fake(), "two": Fake()}).drop("seconds").collect()
+    assert [tuple(r) for r in got] == [(n, i, 20.02, 20.02) for n in ("one", "two") for i in (0, 1)]
+
+
 def test_importances_and_winner(table):
     t = TR.train_importances(table.select("id", "a", "b", "z"), "z", ["id"], trees=5, folds=2).collect()
     assert [r["position"] for r in t] == [1, 2] and t[0]["feature"] == "a" and t[0]["importance"] > 0.5
