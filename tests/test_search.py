@@ -52,6 +52,20 @@ def test_search_of_numbers(table):
     assert len(found) == 41 and set(found["model"]) == {"Ridge_low", "Ridge_high", "RF_shallow", "RF_deep", "GB", "Voting Ensemble"}
 
 
+def test_search_shares_fits_of_equal_tables(spark, table, monkeypatch):
+    """Fills of no gap give one table, and so do logarithms where no column is skewed."""
+    made, keep = [], TR.settle
+    monkeypatch.setattr(TR, "settle", lambda df: made.append(df.columns) or keep(df))
+    whole = table.select("id", F.coalesce("a", F.lit(0.0)).alias("a"), "b", "z")
+    for data, tables in ((whole, 2 * 2 + 2), (whole.withColumn("b", F.col("a") - 2), 2 + 2)):
+        made.clear()
+        found = TR.search(data, "z", ["id"], folds=2, boost=2).toPandas()
+        assert len([c for c in made if "scaled" in c]) == tables and len(found) == 41
+        single = found[~found["is_ensemble"]]
+        by = single.groupby(["model", "scaler", "log_transform"])["score"]
+        assert by.nunique().max() == 1 and by.size().min() == 2
+
+
 def test_folds_of_all_models_run_side_by_side(spark):
     meet = threading.Barrier(4, timeout=60)  # broken unless four fits run at once
 
