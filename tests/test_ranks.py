@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablefit.functions.ranks import attach_values, average_rank, distinct_counts, exact_quantiles, hash_row_number, running_total
 from tablefit.operators.encode import encode_label, value_codes
 from tablefit.operators.relate import _discordant, kendall, spearman
+from tablefit.sources.tables import normalise
 
 
 @pytest.fixture(scope="module")
@@ -134,3 +135,25 @@ def test_encode_label_stores_many_values_once(spark, monkeypatch):
     out = encode_label(df, "t")
     assert out.columns == ["id", "t", "k"] and out.orderBy("id").collect() == want
     assert stored == [["value", "cnt"], ["value", "cnt", "code"]]
+
+
+def test_brackets_are_searched_in_long_form(spark, monkeypatch):
+    """Generated code that grows with columns x quantiles is not compiled; narrowing and bracket values join instead."""
+    import tablefit.functions.ranks as R
+
+    asked, keep = [], R._inside
+    monkeypatch.setattr(R, "_inside", lambda df, cols, keys, brackets: asked.append(list(keys)) or keep(df, cols, keys, brackets))
+    pdf = pd.DataFrame({f"x{i}": np.arange(3000.0) ** (1 + i / 8) % (900 + i) for i in range(6)})
+    pdf.loc[::4, "x3"], pdf.loc[::7, "x2"] = 5.0, np.nan
+    probs = [k / 10 for k in range(1, 10)]
+    df = normalise(spark.createDataFrame(pdf).repartition(3))
+    got = exact_quantiles(df, list(pdf), probs, 50, 60)
+    for n in pdf:
+        for p in probs:
+            assert got[n][p] == pytest.approx(pdf[n].quantile(p), abs=1e-12)
+    assert len(asked) > 2 and max(map(len, asked)) > 20
+    keys = [(i, p) for i in range(6) for p in probs]
+    rows = keep(df, list(pdf), keys, {k: [1.0, 50.0] for k in keys})
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 5000 and plan.count("Generate") == 1
+    assert rows.groupBy("j").count().where("j = 13").first()["count"] == pdf["x1"].between(1, 50).sum()
