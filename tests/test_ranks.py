@@ -157,3 +157,17 @@ def test_brackets_are_searched_in_long_form(spark, monkeypatch):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 5000 and plan.count("Generate") == 1
     assert rows.groupBy("j").count().where("j = 13").first()["count"] == pdf["x1"].between(1, 50).sum()
+
+
+def test_many_groups_are_dealt_out_before_counting(spark, monkeypatch):
+    import tablefit.functions.ranks as R
+    from tablefit.operators.facts import Facts
+
+    df = spark.range(0, 2000, 1, 2).select("id", (F.col("id") % 5).alias("few"), (F.col("id") % 1900).cast("string").alias("t"))
+    assert R.spread_groups(df, ["id"], 2000).rdd.getNumPartitions() == 2
+    monkeypatch.setattr(R, "GROUP_ROWS", 50)
+    assert R.spread_groups(df, ["id"], 2000).rdd.getNumPartitions() == 40
+    held = R.spread_groups(df, ["t"], 2000).select("t", F.spark_partition_id().alias("p")).distinct()
+    assert held.count() == 1900 and held.groupBy("p").count().agg(F.max("count")).first()[0] < 100
+    assert distinct_counts(df, df.columns, 64, 10) == {"id": 2000, "few": 5, "t": 1900}
+    assert Facts(df.unionByName(df.limit(30))).duplicates() == 30
