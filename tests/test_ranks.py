@@ -162,12 +162,31 @@ def test_brackets_are_searched_in_long_form(spark, monkeypatch):
 def test_many_groups_are_dealt_out_before_counting(spark, monkeypatch):
     import tablefit.functions.ranks as R
     from tablefit.operators.facts import Facts
-
-    df = spark.range(0, 2000, 1, 2).select("id", (F.col("id") % 5).alias("few"), (F.col("id") % 1900).cast("string").alias("t"))
-    assert R.spread_groups(df, ["id"], 2000).rdd.getNumPartitions() == 2
+    from tablefit.operators.relate import mapped_columns
+
+    df = spark.range(0, 2000, 1, 2).select(
+        "id", (F.col("id") % 5).alias("few"), F.greatest(F.col("id") - 900, F.lit(0)).cast("string").alias("t"), (F.col("id") % 1000).alias("half"), F.concat(F.lit("n"), F.col("id")).alias("name"))
+
+    def outcome():
+        counted = R.group_many(df, ["t"], {"k": (F.count(F.lit(1)), F.sum("k"))}, 2000)
+        held = counted.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+        assert {r["t"]: r["k"] for r in counted.collect()} == {"0": 901} | {str(i): 1 for i in range(1, 1100)}
+        assert distinct_counts(df, df.columns, 64, 10) == {"id": 2000, "few": 5, "t": 1100, "half": 1000, "name": 2000}
+        f = Facts(df.unionByName(df.limit(30)))
+        assert f.duplicates() == 30 and mapped_columns(f, ["id", "few", "half"], "name") == ["id"]
+        assert mapped_columns(f, ["id", "name", "half", "t"], "few") == ["id", "name", "half"]
+        return held
+
+    outcome()
     monkeypatch.setattr(R, "GROUP_ROWS", 50)
-    assert R.spread_groups(df, ["id"], 2000).rdd.getNumPartitions() == 40
-    held = R.spread_groups(df, ["t"], 2000).select("t", F.spark_partition_id().alias("p")).distinct()
-    assert held.count() == 1900 and held.groupBy("p").count().agg(F.max("count")).first()[0] < 100
-    assert distinct_counts(df, df.columns, 64, 10) == {"id": 2000, "few": 5, "t": 1900}
-    assert Facts(df.unionByName(df.limit(30))).duplicates() == 30
+    assert outcome() < 100
+
+
+def test_mapping_sorts_no_rows(spark, monkeypatch):
+    import tablefit.operators.relate as RE
+    from tablefit.operators.facts import Facts
+
+    plans, keep = [], RE.group_many
+    monkeypatch.setattr(RE, "group_many", lambda *a: plans.append(keep(*a)) or plans[-1])
+    assert RE.mapped_columns(Facts(spark.range(50).select("id", F.col("id").cast("string").alias("y"))), ["id"], "y") == ["id"]
+    assert plans and all("Sort" not in p._jdf.queryExecution().executedPlan().toString() for p in plans)
