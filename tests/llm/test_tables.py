@@ -483,3 +483,64 @@ def test_pipeline(spark, rows, tmp_path):
             assert sorted(r["decoded"] for r in docs.collect()) == sorted((r["text"] or "").replace("▁", " ") for r in before.collect())
     end = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, end.collect())) == sorted(map(str, docs.collect()))
+
+
+def brute_katz(rows, k=5):
+    """Log10 probabilities of whole texts by a bigram Katz model with Good-Turing discounts, with plain dictionaries."""
+    import math
+
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = [[*WORD.findall((r[1] or "").translate(low)), None] for r in rows]
+    pairs = [list(zip(["<s>", *(("w", t) for t in ts[:-1])], ts)) for ts in tokens]
+    trained = [p for r, p in zip(rows, pairs) if crc(r[0], 5) != 1]
+    one, two = Counter(w for p in trained for _, w in p), Counter(x for p in trained for x in p)
+    d1, d2 = katz.good_turing(Counter(one.values()), k), katz.good_turing(Counter(two.values()), k)
+    n = sum(one.values())
+    whole = n if d1 else n + 1
+    p1 = {w: c * d1.get(c, 1.0) / whole for w, c in one.items()}
+    unknown = 1 - sum(p1.values())
+    after = {}
+    for (g, w), c in two.items():
+        after.setdefault(g, {})[w] = c
+
+    def lp(g, w):
+        if g not in after:
+            return math.log10(p1.get(w, unknown))
+        total, kept = sum(after[g].values()), sum(c * d2.get(c, 1.0) for c in after[g].values())
+        total += 0 if kept < total else 1
+        if w in after[g]:
+            c = after[g][w]
+            return math.log10(c * d2.get(c, 1.0) / total)
+        return math.log10((1 - kept / total) / (1 - sum(p1[x] for x in after[g]))) + math.log10(p1.get(w, unknown))
+
+    return [sum(lp(g, w) for g, w in p) for p in pairs]
+
+
+@pytest.mark.parametrize("size, passes", [(3_000_000, 2), (50, 3)])
+def test_katz_scores(spark, docs, rows, size, passes):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    more = [(100 + i, " ".join(rng.choice(words[: rng.choice([3, 30, 300])]) for _ in range(rng.randint(0, 60)))) for i in range(120)]
+    more += [(300 + i, t) for i, t in enumerate([None, "", "never seen", more[0][1]])] + [more[1]]
+    for given in ([(r[0], r[1]) for r in rows], more):
+        df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+        got = katz.scored_documents(df, rows=size, passes=passes).collect()
+        assert sorted((repr(g["doc_id"]), round(g["score"], 6)) for g in got) == sorted((repr(r[0]), round(x, 6)) for r, x in zip(given, brute_katz(given)))
+
+
+def test_katz_stores_no_pairs(spark):
+    """What is stored on the way grows with texts and words, not with the pairs of words."""
+    import random
+    from pathlib import Path
+
+    from tablefit.sources.tables import shared_folder
+
+    rng = random.Random(9)
+    texts = [" ".join(f"word{rng.randrange(1500)}" for _ in range(800)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    stored = lambda: sum(f.stat().st_size for f in Path(shared_folder(spark)).rglob("*.parquet"))
+    before = stored()
+    assert katz.scored_documents(df).count() == len(texts)
+    assert stored() - before < 0.75 * sum(map(len, texts))
