@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tablefit.llm.common import need, settle, spread, text_key, text_of
 from tablefit.llm.components import components
-from tablefit.llm.flat import RangeHash, mix, segment_ids, shingles, slices, word_ranges
+from tablefit.llm.flat import RangeHash, mix, parts, segment_ids, shingles, word_ranges
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5  # a pair at 0.8 meets in no band with probability 3e-6
@@ -73,25 +73,16 @@ def _sketch(width: int, bands: int, rows: int):
     def run(batches):
         seeds = _seeds(bands * rows)
         for batch in batches:
-            k1, k2, size, keys = [], [], [], []
-            for _, data, offsets in slices(batch.column(batch.schema.get_field_index("__text"))):
+            for rest, data, offsets in parts(batch):
                 grams, before = _sets(data, offsets, width)
                 sig = minhashes(grams, before, bands * rows).astype(np.uint64)
-                a, b = _set_names(grams, before)
-                k1.append(a)
-                k2.append(b)
-                size.append(np.diff(before))
                 folded = np.zeros((len(sig), bands), np.uint64)
                 for r in range(rows):
                     folded = mix(folded + sig[:, r::rows] * seeds[r])
                 folded = mix(folded + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                keys.append(folded.view(np.int64))
-            n = batch.num_rows
-            flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(flat))
-            rest = batch.drop_columns(["__text"])
-            cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (k1, k2, size)]
-            yield pa.RecordBatch.from_arrays([*rest.columns, *cols, lists], names=[*rest.schema.names, "k1", "k2", "size", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * bands, pa.int32()), pa.array(folded.view(np.int64).ravel()))
+                cols = [pa.array(c) for c in (*_set_names(grams, before), np.diff(before))]
+                yield pa.RecordBatch.from_arrays([*rest.columns, *cols, lists], names=[*rest.schema.names, "k1", "k2", "size", "bands"])
 
     return run
 
@@ -101,16 +92,13 @@ def _signed_sets(width: int, n: int):
 
     def run(batches):
         for batch in batches:
-            sigs, sets = [], []
-            for _, data, offsets in slices(batch.column(batch.schema.get_field_index("__text"))):
+            for rest, data, offsets in parts(batch):
                 grams, before = _sets(data, offsets, width)
-                sig = minhashes(grams, before, n)
-                sigs += [s.tobytes() for s in sig]
-                sets += [grams[a:b].tobytes() for a, b in zip(before[:-1], before[1:])]
-            rest = batch.drop_columns(["__text"])
-            yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=[*rest.schema.names, "sig", "grams"]
-            )
+                sigs = [s.tobytes() for s in minhashes(grams, before, n)]
+                sets = [grams[a:b].tobytes() for a, b in zip(before[:-1], before[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [*rest.columns, pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=[*rest.schema.names, "sig", "grams"]
+                )
 
     return run
 

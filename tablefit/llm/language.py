@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tablefit.llm.common import fields, need, remainder, text_of
-from tablefit.llm.flat import slices
+from tablefit.llm.flat import PART, parts, slices
 
 RANKS = 300
 POINTS = 0x110000  # code points
@@ -108,7 +108,7 @@ def _gram_counts(batches):
 
     for batch in batches:
         langs = batch.column(1).to_pylist()
-        for first, data, offsets in slices(batch.column(0)):
+        for first, data, offsets in slices(batch.column(0), PART):
             for i, ids in enumerate(_rows(data, offsets)):
                 held.setdefault(langs[first + i], _Tally()).add(ids)
             if sum(t.waiting + len(t.n) for t in held.values()) > 4 * HELD:
@@ -162,8 +162,8 @@ def _predict(profiles: Profiles, sizes: bool = False):
         for j, name in enumerate(names):
             place[np.searchsorted(known, profiles.ranked[name]), j] = np.arange(len(profiles.ranked[name]))
         for batch in batches:
-            out, scores, octaves = [], [], []
-            for _, data, offsets in slices(batch.column(batch.schema.get_field_index("__text"))):
+            for rest, data, offsets in parts(batch):
+                out, scores, octaves = [], [], []
                 for ids in _rows(data, offsets):
                     if len(ids) == 0 or not names:
                         out.append("und")
@@ -182,11 +182,10 @@ def _predict(profiles: Profiles, sizes: bool = False):
                     j = int(np.argmin(d))  # ties: the smaller name
                     out.append(names[j])
                     scores.append(1.0 - float(d[j]) / (ranks * len(own)))
-            rest = batch.drop_columns(["__text"])
-            cols, names_ = [pa.array(out, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
-            if sizes:
-                cols, names_ = [*cols, pa.array(octaves, pa.int32())], [*names_, "octave"]
-            yield pa.RecordBatch.from_arrays([*rest.columns, *cols], names=[*rest.schema.names, *names_])
+                cols, names_ = [pa.array(out, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
+                if sizes:
+                    cols, names_ = [*cols, pa.array(octaves, pa.int32())], [*names_, "octave"]
+                yield pa.RecordBatch.from_arrays([*rest.columns, *cols], names=[*rest.schema.names, *names_])
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tablefit.llm.common import fields, need, text_of
 
 ROOM = 64 << 20   # bytes of chunks that a task remembers before it starts its table afresh
-SLICE = 1 << 20   # characters of text that are encoded at a time
+SLICE = 1 << 18   # characters of text that are encoded at a time
 ENTRY = 300       # bytes of an entry besides its texts
 CHUNK = re.compile(r" +[^ ]*|[^ ]+")  # a run of marks and what follows up to the next; the first may have no mark
 

@@ -1,10 +1,13 @@
 """Operators on a small table with every edge, against brute force."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -528,3 +531,62 @@ def test_katz_scores(spark, docs, rows, size, passes):
         df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
         got = katz.scored_documents(df, rows=size, passes=passes).collect()
         assert sorted((repr(g["doc_id"]), round(g["score"], 6)) for g in got) == sorted((repr(r[0]), round(x, 6)) for r, x in zip(given, brute_katz(given)))
+
+
+def _texts(n, size):
+    rng = random.Random(3)
+    passage = sentence(rng, 100)
+    return [sentence(rng, size // 5) + (passage if i % 3 == 0 else "") for i in range(n)]
+
+
+def _arrow(texts):
+    spans = [[{"lo": 1, "hi": 4}, {"lo": i % 50, "hi": i % 50 + 9}] if i % 2 else None for i in range(len(texts))]
+    ids = pa.array(range(len(texts)), pa.int64())
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    return pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(texts, pa.string()), pa.array(spans, kind)], names=["__i", "__a", "__b", "__text", "__spans"])
+
+
+@pytest.mark.parametrize(
+    "stage",
+    [
+        repeats._positions(400), repeats._finish(True), repeats._finish(False), jaccard._sketch(5, 4, 2), jaccard._signed_sets(5, 8),
+        language._predict(language.Profiles({"en": [97, 98, 99], "fr": [100, 97]}, 3), True),
+    ],
+)
+def test_a_batch_leaves_in_parts(stage):
+    """A batch of several megabytes gives several small ones, with the rows that it gives text by text."""
+    whole = _arrow(_texts(300, 5000))
+    out = list(stage(iter([whole])))
+    assert len(out) >= 4 and max(b.num_rows for b in out) < sum(b.num_rows for b in out) / 2
+    alone = [r for i in range(0, 300, 7) for b in stage(iter([whole.slice(i, 1)])) for r in b.to_pylist()]
+    every = [r for b in out for r in b.to_pylist()]
+    assert [r for r in every if r["__i"] % 7 == 0] == alone
+
+
+def test_many_classes_of_one_rank_take_little_memory():
+    """Strings of 1,000 contexts around one passage: what repeats is found, at a few bytes a string."""
+    rng, half, n = random.Random(4), 50, 1000
+    make = lambda k: bytes(rng.choice(b"ab") for _ in range(k))
+    core, ends = make(half), [make(half) for _ in range(100)]
+    contexts = [make(half) + core + (ends[i % 100] if i % 4 == 0 else make(half)) for i in range(n)]
+    sizes = [2 if i % 50 == 0 else 1 for i in range(n)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7] * n), pa.array(range(n)), pa.array(sizes), pa.array([half] * n), pa.array(contexts, pa.binary())], names=["k", "c", "n", "before", "context"]
+    )
+    refine = repeats._refine(2 * half)
+    tracemalloc.start()
+    out = list(refine(iter([batch.slice(i, 300) for i in range(0, n, 300)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    places = Counter()
+    for c, m in zip(contexts, sizes):
+        for d in range(half + 1):
+            places[d, c[d : d + 2 * half]] += m
+    want = []
+    for x, c in enumerate(contexts):
+        again = [d for d in range(half + 1) if places[d, c[d : d + 2 * half]] > 1]
+        want.append((7, x, sorted({p - half for d in again for p in range(d, d + 2 * half)})))
+    found = [r for b in out for r in b.to_pylist()]
+    assert [(r["k"], r["c"], sorted({p for s in r["spans"] for p in range(s["lo"], s["hi"])})) for r in found] == want
+    assert any(w[2] for w in want) and not all(w[2] for w in want)
+    assert peak < 60 * (half + 1) * n
