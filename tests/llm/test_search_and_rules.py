@@ -97,3 +97,53 @@ def test_quality_edges(docs, none, spark):
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (1 if r["score"] >= 0.7 else 0) for r in out)
     assert rules.scored_documents(none, labels).count() == 0
     assert rules.scored_documents(docs, labels.limit(0)).count() == docs.count()
+
+
+def brute_pairs(ids, vecs, q_ids, queries, k):
+    out = []
+    for own, q in zip(q_ids, queries):
+        scores = [(-sum(int(a) * int(b) for a, b in zip(q, v)), int(i)) for i, v in zip(ids, vecs) if i != own]
+        out += [(int(own), i, -s) for s, i in sorted(scores)[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["even", "ties", "steep", "large", "few"])
+def test_blocks_one_after_another(kind):
+    """Queries keep what they found in earlier blocks; ties, own ids, shallow walks and numbers beyond doubles."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, dim, k = 700, 6, 10
+    vecs = rng.integers(-2000, 2000, (n, dim))
+    if kind == "ties":
+        vecs[rng.random(n) < 0.7] = vecs[0]
+    if kind == "steep":
+        vecs, dim = (np.arange(n)[:, None] ** 3 // 1000 * np.array([[1, 1]])), 2
+    if kind == "large":
+        vecs = vecs * 500_000
+    if kind == "few":
+        vecs, n = vecs[:7], 7
+    ids = rng.permutation(len(vecs) * 3)[: len(vecs)]
+    own, queries = ids[:40], vecs[:40].copy()
+    queries[1] = 0
+    asked = topk._Asked([(own[:25], np.arange(25), queries[:25]), (own[25:], np.arange(25, 40)[: max(0, len(own) - 25)], queries[25:])] if n > 25 else [(own, np.arange(len(own)), queries)], k)
+    for part in np.array_split(np.arange(n), 3):
+        asked.meet(ids[part], vecs[part])
+    got = asked.result().to_pydict()
+    assert sorted(zip(got["query_id"], got["vec_id"], got["score"])) == brute_pairs(ids, vecs, own, queries, k)
+
+
+def test_blocks_are_dealt_out_once(spark, vectors):
+    """A vector block is not copied for every query block: no join, and many query blocks share a task."""
+    df = spark.createDataFrame(vectors, VECTORS).repartition(2)
+    found = topk.embeddings_top_k(df)
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_groups_of_queries(spark, vectors, monkeypatch):
+    """Queries beyond the bytes of a task form groups that meet every block."""
+    monkeypatch.setattr(topk, "QUERY_BYTES", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "BLOCK", 60)
+    df = spark.createDataFrame(vectors, VECTORS).repartition(2)
+    assert sorted(tuple(r) for r in topk.embeddings_top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == brute(vectors, 10)
