@@ -122,3 +122,15 @@ def test_plan_falls_back_to_shares(spark, monkeypatch):
     fitted = fit_plan(df, plan)
     assert [s[2] for s in fitted.steps] == ["FrequencyEncoding"] and "instead_of" in fitted.log().first()["params"]
     assert {r["c"] for r in fitted.apply(df).select("c").distinct().collect()} == {0.125}
+
+
+def test_fixes_that_leave_the_matrix_share_its_score(spark, monkeypatch):
+    df = spark.range(300).select(
+        "id", (F.col("id") * 37 % 101).alias("a"), F.when(F.col("id") % 9 == 0, "note").alias("memo"), F.when(F.col("id") * 37 % 101 > 50, "x").otherwise("y").alias("y"))
+    scored, keep = [], TR.Frame.score
+    monkeypatch.setattr(TR.Frame, "score", lambda self, pred: scored.append(1) or keep(self, pred))
+    steps = {r["fix"]: r["score"] for r in TR.fix_impact(df, "y", ["id"], trees=3).collect()}
+    assert steps["drop_sparse"] == steps["baseline"] and len(scored) == 3 * (len(steps) - 1)
+    one = TR.Frame(df.drop("memo"), "y", ["id"], folds=3)
+    other = TR.Frame(df.drop("memo").withColumn("a", F.when(F.col("id") == 7, -1).otherwise(F.col("a"))), "y", ["id"], folds=3)
+    assert one.content() == TR.Frame(df, "y", ["id"], folds=3).content() != other.content()
